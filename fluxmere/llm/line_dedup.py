@@ -5,30 +5,30 @@ for lines of at least ``LEAST_WORDS`` words, is one word apart: a word replaced,
 left out. The earliest stays. Lines without a word are never dropped.
 
 Equal lines meet by a 128-bit hash. Near lines meet by their deletion neighbourhoods: for
-each word of a line the line without it, as a hashed key. Two lines of equal length that
-share a key for the same position differ in that word only; a line that equals another's
-key is that line with a word left out. All members of such a group are one edit from its
-earliest (or only) member, so groups are reduced to a minimum and never paired, and one
-join brings each line its earliest partner. The edit distance is then checked on the words.
+each word of a line the line without it, as a hashed key. Lines of equal length that share a
+key for the same position differ in that word only, all of them from each other, so such a
+group is reduced to its earliest member and never paired. A line whose own words equal
+another's key is that line with a word left out; keys of whole lines are all but unique,
+so this join has about a row for each line. The edit distance is then checked on the words.
 
 To keep neighbourhoods from being made for all lines, a coarse one comes first: words are
-dealt to four parts by hash; one edit touches at most two, so near lines agree on a pair of
-parts. Only lines that share such a pair's hash with another line go on. Nothing is
-collected, capped or sampled.
+dealt to three parts by hash; one edit touches at most two, so near lines agree on a part.
+Only lines that share a part's hash with another line go on. Nothing is collected, capped
+or sampled.
 """
 
 from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .columns import GAP, WORD, let
-from .storage import cut, sent_if_small
+from .storage import cut, sent_if_small, table
 
 LEAST_WORDS = 10
-PARTS = 4
+PARTS = 3
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -41,6 +41,10 @@ def _word_list(line: Column) -> Column:
     return F.filter(F.split(line, GAP), lambda w: w != "")
 
 
+def _xor(hashes: Column) -> Column:
+    return F.aggregate(hashes, F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(h))
+
+
 def _one_apart(x: Column, y: Column) -> Column:
     """Whether two word lists are one word edit apart."""
     differ = lambda a, b: F.size(F.filter(F.zip_with(a, b, lambda p, q: p != q), lambda d: d))
@@ -64,47 +68,43 @@ def line_decisions(docs: DataFrame) -> DataFrame:
     each = _lines(docs).select("doc_id", "uid", "line_no", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g"), F.explode(F.split("line", GAP)).alias("w")).where("w <> ''")
     each = each.select(*of, F.xxhash64("w").alias("x"))
     parts = [f"p{k}" for k in range(PARTS)]
-    sums = [F.bit_xor(F.when(F.col("x").bitwiseAND(F.lit(PARTS - 1)) == k, F.col("x")).otherwise(F.lit(0).cast("long"))).alias(p) for k, p in enumerate(parts)]
-    lines = cut(each.groupBy(*of).agg(F.count("*").alias("n"), *sums))
+    sums = [F.bit_xor(F.when(F.pmod("x", F.lit(PARTS)) == k, F.col("x")).otherwise(F.lit(0).cast("long"))).alias(p) for k, p in enumerate(parts)]
+    lines = table(each.groupBy(*of).agg(F.count("*").cast("int").alias("n"), *sums).drop("uid"), "lines")
     place = F.struct("doc_id", "line_no")
-    kinds = cut(lines.groupBy("h", "g").agg(F.min(place).alias("first"), F.count("*").alias("copies"), F.first("n").alias("n"), *(F.first(p).alias(p) for p in parts)))
-    copied = kinds.where("copies > 1").select("h", "g", "first")
+    copied = lines.groupBy("h", "g").agg(F.min(place).alias("first"), F.count("*").alias("copies")).where("copies > 1").select("h", "g", "first")
     exact = lines.select("doc_id", "line_no", "h", "g").join(copied, ["h", "g"]).where(~place.eqNullSafe(F.col("first"))).select("doc_id", "line_no", F.lit("exact").alias("kind"))
-    return exact.unionByName(_near(docs, kinds, parts)).distinct()
+    return exact.unionByName(_near(docs, lines, parts)).distinct()
 
 
-def _near(docs: DataFrame, kinds: DataFrame, parts: list[str]) -> DataFrame:
-    long_ = kinds.where(F.col("n") >= LEAST_WORDS)
-    coarse = [F.xxhash64(F.lit(k), *pair) for k, pair in enumerate(combinations(parts, PARTS - 2))]
-    keyed = long_.select("h", F.explode(F.array(*coarse)).alias("key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("lines")).where("lines > 1").select("key")
-    met = keyed.join(shared, "key").select("h").distinct()
-    chosen = cut(kinds.join(met, "h", "left_semi").where(F.col("n") >= LEAST_WORDS).select("first.doc_id", "first.line_no"))
-    text = _lines(docs).join(sent_if_small(chosen), ["doc_id", "line_no"], "left_semi").select("doc_id", "line_no", F.xxhash64("line").alias("h"), _word_list(F.col("line")).alias("words"))
+def _near(docs: DataFrame, lines: DataFrame, parts: list[str]) -> DataFrame:
+    """Of the first occurrences of long lines."""
+    firsts = lines.where(F.col("n") >= LEAST_WORDS).groupBy("h", "g").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), *(F.first(p).alias(p) for p in parts))
+    coarse = [F.xxhash64(F.lit(k), *kept) for k, kept in enumerate(combinations(parts, PARTS - 2))]
+    keyed = firsts.select("first.*", F.explode(F.array(*coarse)).alias("key"))
+    shared = cut(keyed.groupBy("key").agg(F.count("*").alias("lines")).where("lines > 1").select("key"))
+    chosen = cut(keyed.join(sent_if_small(shared), "key", "left_semi").select("doc_id", "line_no").distinct())
+    text = _lines(docs).join(sent_if_small(chosen), ["doc_id", "line_no"], "left_semi").select("doc_id", "line_no", "line")
     text = cut(text.dropDuplicates(["doc_id", "line_no"]))
 
-    line = Window.partitionBy("doc_id", "line_no")
-    upto = line.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    n = F.size("words").alias("n")
-    each = text.select("doc_id", "line_no", n, F.posexplode("words").alias("pos", "w"))
-    for s in (0, 1):  # two seeds: 128 bits
-        each = each.withColumns({f"here{s}": F.xxhash64(F.lit(s), "w", "pos"), f"less{s}": F.xxhash64(F.lit(s), "w", F.col("pos") - 1)})
-    for s in (0, 1):
-        each = each.withColumns({f"all{s}": F.bit_xor(f"here{s}").over(line), f"all_less{s}": F.bit_xor(f"less{s}").over(line), f"upto{s}": F.bit_xor(f"here{s}").over(upto), f"upto_less{s}": F.bit_xor(f"less{s}").over(upto)})
-    me = F.struct("doc_id", "line_no").alias("me")
-    xor = lambda *c: F.col(c[0]).bitwiseXOR(F.col(c[1])) if len(c) == 2 else F.col(c[0]).bitwiseXOR(F.col(c[1])).bitwiseXOR(F.col(c[2])).bitwiseXOR(F.col(c[3]))
-    swap = each.select(me, F.lit("swap").alias("sort"), "n", "pos", *(xor(f"all{s}", f"here{s}").alias(f"k{s}") for s in (0, 1)))
-    drop = each.select(me, F.lit("drop").alias("sort"), (F.col("n") - 1).alias("n"), F.lit(-1).alias("pos"), *(xor(f"upto{s}", f"here{s}", f"all_less{s}", f"upto_less{s}").alias(f"k{s}") for s in (0, 1))).distinct()
-    full = each.where("pos = 0").select(me, F.lit("full").alias("sort"), "n", F.lit(-1).alias("pos"), *(F.col(f"all{s}").alias(f"k{s}") for s in (0, 1)))
-    keys = ["n", "pos", "k0", "k1"]
-    all_ = cut(swap.unionByName(drop).unionByName(full))
-    least = lambda sort: F.min(F.when(F.col("sort") == sort, F.col("me")))
-    groups = all_.groupBy(*keys).agg(least("swap").alias("swap"), least("drop").alias("drop"), least("full").alias("full"), F.count("*").alias("members")).where("members > 1")
-    other = F.when(F.col("sort") == "swap", F.col("swap")).when(F.col("sort") == "drop", F.col("full")).otherwise(F.col("drop"))
-    pairs = all_.join(groups, keys).select("me", other.alias("other")).where("other is not null and other < me").distinct()
-    words = text.select(F.struct("doc_id", "line_no").alias("id"), "words")
-    sides = pairs.join(words.select(F.col("id").alias("me"), F.col("words").alias("x")), "me").join(words.select(F.col("id").alias("other"), F.col("words").alias("y")), "other")
-    return sides.where(_one_apart(F.col("x"), F.col("y"))).select("me.doc_id", "me.line_no", F.lit("near").alias("kind"))
+    place = ["doc_id", "line_no"]
+    words = text.select(*place, _word_list(F.col("line")).alias("w"))
+    placed = let(F.transform("w", lambda w, i: F.xxhash64(w, i)), lambda h: F.struct(h.alias("h"), _xor(h).alias("all")))
+    swap = words.select(*place, F.size("w").alias("n"), placed.alias("p"))
+    swap = swap.select(*place, F.explode(F.transform("p.h", lambda h, i: F.xxhash64(F.col("p.all").bitwiseXOR(h), i, F.col("n")))).alias("key"))
+    earliest = swap.groupBy("key").agg(F.min(F.struct(*place)).alias("other"), F.count("*").alias("members")).where("members > 1").select("key", "other")
+    me = F.struct(*place).alias("me")
+    swapped = swap.join(sent_if_small(cut(earliest)), "key").select(me, "other").where("other < me").distinct()
+
+    plain = let(F.transform("w", lambda w: F.xxhash64(w)), lambda h: F.struct(h.alias("h"), _xor(h).alias("all")))
+    sums = words.select(me, F.size("w").alias("n"), plain.alias("p"))
+    full = cut(sums.select(F.col("me").alias("whole"), "n", F.col("p.all").alias("key")))
+    less = sums.select("me", (F.col("n") - 1).alias("n"), F.explode(F.array_distinct(F.transform("p.h", lambda h: F.col("p.all").bitwiseXOR(h)))).alias("key"))
+    left_out = less.join(sent_if_small(full), ["n", "key"]).select(F.greatest("me", "whole").alias("me"), F.least("me", "whole").alias("other"))
+
+    pairs = cut(swapped.unionByName(left_out).distinct())
+    side = lambda name, line: text.select(F.struct(*place).alias(name), F.col("line").alias(line))
+    met = pairs.join(side("me", "x"), "me").join(side("other", "y"), "other")
+    return met.where(_one_apart(_word_list(F.col("x")), _word_list(F.col("y")))).select("me.doc_id", "me.line_no", F.lit("near").alias("kind"))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
