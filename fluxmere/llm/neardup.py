@@ -8,9 +8,13 @@ twelve collections have to agree. Every candidate is confirmed on the full shing
 Skew. Documents with the same shingle set form a class and only its representative goes
 on, so thousands of copies cost one row each. Members of a table's bucket are first held
 against the bucket's smallest class only (a star, linear in the bucket). Buckets whose
-members are then still in more than one component are taken further: the pairs that are
-not connected yet are compared, in a bucket of more than ``WIDE`` members after it is
-divided by each third collection. No partner, candidate or bucket is capped.
+members are then still in more than one component are taken further. For those with more
+than ``WIDE`` members the shingles that no other such document has are counted; they are in
+no intersection, which bounds every similarity from above. The member with the least share
+of them, as a rule the text that the others were made from, is the centre of a second star,
+and members that no other can reach by the bound are left out. The pairs that are not
+connected yet and that the bound allows are then compared, each in the first table that it
+shares. No partner, candidate or bucket is capped.
 """
 
 from __future__ import annotations
@@ -19,16 +23,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec
+from .columns import let
 from .components import components
 from .storage import cut, ship
 
 GROUPS = 12
 PER_GROUP = 2
-WIDE = 64
+WIDE = 8
 _RNG = np.random.Generator(np.random.PCG64(7))
 _A = _RNG.integers(1, 2**63, GROUPS * PER_GROUP, dtype=np.uint64) | np.uint64(1)
 _B = _RNG.integers(1, 2**63, GROUPS * PER_GROUP, dtype=np.uint64)
@@ -98,16 +103,62 @@ def _confirm(percent: int):
     return run
 
 
+def _grams_of(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, grams in enumerate(_grams(batch.column("text"), size)):
+                own = np.full(len(grams), batch.column("doc_id")[i].as_py(), np.int64)
+                for k in range(0, len(grams), 20_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(grams[k : k + 20_000].view(np.int64)), pa.array(own[k : k + 20_000])], names=["h", "class"])
+
+    return run
+
+
+def _histograms(size: int):
+    """Shingles by their hash's first bits; null where a count is too large for the column."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.bincount(grams >> np.uint64(56), minlength=256) for grams in _grams(batch.column("text"), size)]
+            counts = [x.astype(np.int16) if x.max() < 1 << 15 else None for x in found]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.list_(pa.int16()))], names=["class", "shape"])
+
+    return run
+
+
+def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each of ``ids(doc_id)``."""
+    return docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+
+
 def _links(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Those of ``pairs(a, b)`` whose full sets are alike enough, with the texts read again for their documents only."""
-    pairs = cut(pairs)
+    """Those of the checkpointed ``pairs(a, b)`` whose full sets are alike enough, with the texts read again for their documents only."""
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = cut(texts.mapInArrow(_sets(size), "id long, grams binary"))
+    sets = cut(_texts_of(docs, ids).mapInArrow(_sets(size), "id long, grams binary"))
     wide = pairs.join(sets.select(F.col("id").alias("a"), F.col("grams").alias("ga")), "a").join(sets.select(F.col("id").alias("b"), F.col("grams").alias("gb")), "b")
     return cut(wide.mapInArrow(_confirm(percent), "a long, b long"))
 
 
+def _private(docs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
+    """(class, private): shingles of each class that no other of ``classes(class)`` has, where there are any."""
+    grams = _texts_of(docs, classes.select(F.col("class").alias("doc_id"))).mapInArrow(_grams_of(size), "h long, class long")
+    alone = grams.groupBy("h").agg(F.count("*").alias("n"), F.min("class").alias("class")).where("n = 1")
+    return alone.groupBy("class").agg(F.count("*").alias("private"))
+
+
+def _open(members: DataFrame, label: DataFrame) -> DataFrame:
+    """``members(key, class, ...)`` of the buckets that hold more than one component, with the component."""
+    named = members.join(label.select(F.col("node").alias("class"), "component"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    split = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+    return named.join(split, "key", "left_semi")
+
+
+def _first_table(x: Column, y: Column) -> Column:
+    """Number of the first table that two documents share, from arrays of their collections: a pair is made there only."""
+    agree = F.zip_with(x, y, lambda p, q: p == q)
+    return let(F.array_position(agree, True).cast("int"), lambda j: let(j + F.array_position(F.slice(agree, j + 1, GROUPS), True).cast("int") - 1, lambda i: (i * (i - 1) / 2).cast("int") + j - 1))
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)`` of every row of ``docs(doc_id, text)``.
 
@@ -126,25 +177,45 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     of = ["n_shingles", "f1", "f2"]
     classes = cut(base.where("n_shingles > 0 and doc_id is not null").groupBy(*of).agg(F.min("doc_id").alias("class"), *(F.first(k).alias(k) for k in keys)))
     tables = [(i, j) for i in range(GROUPS) for j in range(i)]
-    buckets = classes.select("class", "n_shingles", F.posexplode(F.array(*(F.xxhash64(F.lit(n), f"c{i}", f"c{j}") for n, (i, j) in enumerate(tables)))).alias("t", "key")).drop("t")
+    buckets = classes.select("class", "n_shingles", F.posexplode(F.array(*(F.xxhash64(F.lit(n), f"c{i}", f"c{j}") for n, (i, j) in enumerate(tables)))).alias("t", "key"))
     shared = buckets.groupBy("key").agg(F.min("class").alias("a"), F.min_by("n_shingles", "class").alias("na"), F.count("*").alias("members")).where("members > 1")
     met = cut(buckets.join(shared, "key"))
     like = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
-    star = met.where((F.col("a") != F.col("class")) & like(F.col("na"), F.col("n_shingles"))).select("a", F.col("class").alias("b")).distinct()
+    star = cut(met.where((F.col("a") != F.col("class")) & like(F.col("na"), F.col("n_shingles"))).select("a", F.col("class").alias("b")).distinct())
     links = _links(docs, star, size, percent)
-
     label = components(links)
-    of_class = met.where("members > 2").select("key", "members", "class", "n_shingles", "a").join(label.select(F.col("node").alias("class"), "component"), "class", "left")
-    open_ = of_class.withColumn("component", F.coalesce("component", "class"))
-    split = open_.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    open_ = open_.join(split, "key")
-    narrow = open_.where(F.col("members") <= WIDE)
-    wide = open_.where(F.col("members") > WIDE).join(classes.select("class", F.array(*keys).alias("c")), "class")
-    wide = wide.select(F.explode(F.transform("c", lambda c, k: F.xxhash64("key", k, c))).alias("key"), "class", "n_shingles", "component", "a")
-    narrow = narrow.select("key", "class", "n_shingles", "component", "a").unionByName(wide.select("key", "class", "n_shingles", "component", "a"))
-    x, y = narrow.alias("x"), narrow.where("class <> a").alias("y")
-    rest = x.where("class <> a").join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.class") < F.col("y.class")) & (F.col("x.component") != F.col("y.component")) & like(F.col("x.n_shingles"), F.col("y.n_shingles")))
-    rest = rest.select(F.col("x.class").alias("a"), F.col("y.class").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
+
+    rows = ["key", "t", "class", "n_shingles"]
+    left = cut(_open(met.where("members > 2").select(*rows, "members"), label))
+    narrow = left.where(F.col("members") <= WIDE).withColumn("common", F.col("n_shingles"))
+    wide = left.where(F.col("members") > WIDE)
+    if wide.limit(1).count():
+        ids = cut(wide.select("class").distinct())
+        private = cut(_private(docs, ids, size))
+        wide = cut(wide.drop("component").join(private, "class", "left").withColumn("common", F.col("n_shingles") - F.coalesce("private", F.lit(0))).drop("private"))
+        order = F.struct(F.col("common") / F.col("n_shingles"), -F.col("class"))
+        hubs = wide.groupBy("key").agg(F.max_by(F.struct("class", "n_shingles"), order).alias("hub"))
+        again = wide.join(hubs, "key").where((F.col("hub.class") != F.col("class")) & like(F.col("hub.n_shingles"), F.col("n_shingles")))
+        again = again.select(F.least("class", "hub.class").alias("a"), F.greatest("class", "hub.class").alias("b")).distinct()
+        again = cut(again.join(star, ["a", "b"], "left_anti"))
+        links, star = links.unionByName(_links(docs, again, size, percent)), star.unionByName(again)
+        label = components(links)
+        # |x & y| is at most the common shingles of either and has to be percent of the union; so too the sum of the lesser counts of two histograms
+        can = lambda x, nx, ny: x * (100 + percent) >= (nx + ny) * percent
+        least = F.greatest(F.col("least"), F.ceil(F.col("n_shingles") * percent / 100))
+        able = wide.join(wide.groupBy("key").agg(F.min("n_shingles").alias("least")), "key").where(can(F.col("common"), F.col("n_shingles"), least)).drop("least")
+        shapes = _texts_of(docs, ids.select(F.col("class").alias("doc_id"))).mapInArrow(_histograms(size), "class long, shape array<short>")
+        able = cut(_open(able, label)).join(shapes, "class", "left")
+        narrow = narrow.withColumn("shape", F.lit(None).cast("array<short>")).unionByName(able.select(*narrow.columns, "shape"))
+    else:
+        narrow = narrow.withColumn("shape", F.lit(None).cast("array<short>"))
+    narrow = narrow.join(classes.select("class", F.array(*(F.col(k).bitwiseAND(0x7FFFFFFF).cast("int") for k in keys)).alias("c")), "class")
+    x, y = narrow.alias("x"), narrow.alias("y")
+    enough = lambda both: F.coalesce(both * (100 + percent) >= (F.col("x.n_shingles") + F.col("y.n_shingles")) * percent, F.lit(True))
+    lesser = F.aggregate(F.zip_with("x.shape", "y.shape", lambda a, b: F.least(a, b)), F.lit(0), lambda a, n: a + n)
+    held = enough(F.least("x.common", "y.common")) & enough(lesser)
+    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.class") < F.col("y.class")) & (F.col("x.component") != F.col("y.component")) & like(F.col("x.n_shingles"), F.col("y.n_shingles")) & (_first_table(F.col("x.c"), F.col("y.c")) == F.col("x.t")) & held)
+    rest = cut(rest.select(F.col("x.class").alias("a"), F.col("y.class").alias("b")).join(star, ["a", "b"], "left_anti"))
     more = _links(docs, rest, size, percent)
     if more.limit(1).count():
         label = components(links.unionByName(more))
