@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from . import textvec
 from .columns import let
 from .components import components
-from .storage import cut, ship
+from .storage import cut, sent_if_small, ship
 
 GROUPS = 12
 PER_GROUP = 2
@@ -127,8 +127,8 @@ def _histograms(size: int):
 
 
 def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """One row of ``docs`` for each of ``ids(doc_id)``."""
-    return docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """One row of ``docs`` for each of ``ids(doc_id)``; ids that a count shows to be few go to the texts, not the texts to them."""
+    return docs.join(sent_if_small(cut(ids)), "doc_id", "left_semi").dropDuplicates(["doc_id"])
 
 
 def _links(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
