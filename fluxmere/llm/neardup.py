@@ -190,9 +190,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     narrow = left.where(F.col("members") <= WIDE).withColumn("common", F.col("n_shingles"))
     wide = left.where(F.col("members") > WIDE)
     if wide.limit(1).count():
-        ids = cut(wide.select("class").distinct())
-        private = cut(_private(docs, ids, size))
-        wide = cut(wide.drop("component").join(private, "class", "left").withColumn("common", F.col("n_shingles") - F.coalesce("private", F.lit(0))).drop("private"))
+        ids = cut(wide.select("class", "n_shingles").distinct())
+        common = F.col("n_shingles") - F.coalesce("private", F.lit(0))
+        facts = ids.join(_private(docs, ids, size), "class", "left").select("class", common.alias("common")).where(F.col("common") * 100 >= F.col("n_shingles") * percent)
+        facts = cut(facts)  # those that another may be like at all
+        wide = cut(wide.drop("component").join(sent_if_small(facts), "class"))
         order = F.struct(F.col("common") / F.col("n_shingles"), -F.col("class"))
         hubs = wide.groupBy("key").agg(F.max_by(F.struct("class", "n_shingles"), order).alias("hub"))
         again = wide.join(hubs, "key").where((F.col("hub.class") != F.col("class")) & like(F.col("hub.n_shingles"), F.col("n_shingles")))
@@ -204,7 +206,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         can = lambda x, nx, ny: x * (100 + percent) >= (nx + ny) * percent
         least = F.greatest(F.col("least"), F.ceil(F.col("n_shingles") * percent / 100))
         able = wide.join(wide.groupBy("key").agg(F.min("n_shingles").alias("least")), "key").where(can(F.col("common"), F.col("n_shingles"), least)).drop("least")
-        shapes = _texts_of(docs, ids.select(F.col("class").alias("doc_id"))).mapInArrow(_histograms(size), "class long, shape array<short>")
+        shapes = _texts_of(docs, facts.select(F.col("class").alias("doc_id"))).mapInArrow(_histograms(size), "class long, shape array<short>")
         able = cut(_open(able, label)).join(shapes, "class", "left")
         narrow = narrow.withColumn("shape", F.lit(None).cast("array<short>")).unionByName(able.select(*narrow.columns, "shape"))
     else:
