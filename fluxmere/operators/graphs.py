@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..llm.storage import cut
+
 
 def closure(edges: DataFrame, depth: int) -> DataFrame:
     """(node, other) of ``edges(src, dst)``: all that reach a node in at most ``depth`` steps, itself excluded.
@@ -12,11 +14,13 @@ def closure(edges: DataFrame, depth: int) -> DataFrame:
     Breadth first, one join a step, and a step joins only the pairs that the last one added;
     it stops when there are none. Rounds are bounded by ``depth``.
     """
-    edges = edges.select("src", "dst").where("src is not null and dst is not null").distinct()
+    edges = cut(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
     seen = new = edges.select(F.col("dst").alias("node"), F.col("src").alias("other")).where("node <> other")
     for _ in range(depth - 1):
         step = new.join(edges, new.other == edges.dst).select("node", F.col("src").alias("other")).where("node <> other").distinct()
-        new = step.join(seen, ["node", "other"], "left_anti")
+        new = cut(step.join(seen, ["node", "other"], "left_anti"))
+        if new.isEmpty():
+            break
         seen = seen.unionByName(new)
     return seen
 
