@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..llm.storage import cut
 
+#: Length of a chain that runs into a cycle.
+ENDLESS = -1
+
 
 def closure(edges: DataFrame, depth: int) -> DataFrame:
     """(node, other) of ``edges(src, dst)``: all that reach a node in at most ``depth`` steps, itself excluded.
@@ -25,6 +28,25 @@ def closure(edges: DataFrame, depth: int) -> DataFrame:
     return seen
 
 
+def chain_lengths(links: DataFrame) -> DataFrame:
+    """(start, n) of every cluster of ``links(cluster, next)``: clusters in the chain from it to its end, ``ENDLESS`` if it runs into a cycle.
+
+    An entry under 2, a null one and one that names no cluster of ``links`` end a chain.
+    Pointer doubling: a round follows every open chain twice as far as the last. A chain with
+    an end has no more clusters than there are, so what is open after so many links is endless.
+    """
+    known = links.select(F.col("cluster").alias("next"), F.lit(True).alias("_known"))
+    goes_on = (F.col("next") >= 2) & F.col("_known")
+    ends = links.join(known, "next", "left").select("cluster", F.when(goes_on, F.col("next")).alias("at"), F.lit(1).cast("long").alias("n"))
+    chains = cut(ends)
+    clusters, reach = chains.count(), 1
+    while reach < clusters and not chains.where("at is not null").isEmpty():
+        further = chains.select(F.col("cluster").alias("at"), F.col("at").alias("then"), F.col("n").alias("more"))
+        chains = cut(chains.join(further, "at", "left").select("cluster", F.col("then").alias("at"), (F.col("n") + F.coalesce("more", F.lit(0))).alias("n")))
+        reach *= 2
+    return chains.select(F.col("cluster").alias("start"), F.when(F.col("at").isNull(), F.col("n")).otherwise(F.lit(ENDLESS).cast("long")).alias("n"))
+
+
 def best_suffix(targets: DataFrame, documents: DataFrame, path: str = "path", uri: str = "uri") -> DataFrame:
     """(path, uri, quality) for paths that one document fits best: by equal trailing segments, case ignored, then the shortest uri.
 

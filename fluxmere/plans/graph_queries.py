@@ -13,6 +13,7 @@ from .tables import table
 
 #: The analyzer's depths 0 to 8.
 DEPTH = 9
+#: Of the SQL only.
 HOPS = 8
 
 
@@ -36,14 +37,9 @@ def undefined_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fat_chain_length(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clusters in each chain, followed for at most ``HOPS`` links; an entry under 2 ends a chain."""
-    table_ = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("cluster"), ((F.col("p_partkey") * 17 + F.col("p_size")) % 199).alias("next"))
-    chains = table_.select(F.col("cluster").alias("start"), F.col("next").alias("at"), F.lit(1).cast("long").alias("n"))
-    link = table_.select(F.col("cluster").alias("at"), F.col("next").alias("then"))
-    for _ in range(HOPS):
-        chains = chains.join(link, "at", "left").select("start", F.when(F.col("at") >= 2, F.col("then")).otherwise(F.col("at")).alias("to"), (F.col("n") + F.when((F.col("at") >= 2) & F.col("then").isNotNull(), 1).otherwise(0)).alias("n"))
-        chains = chains.select("start", F.coalesce("to", F.lit(0)).alias("at"), "n")
-    return chains.select("start", "n")
+    """Clusters in each chain, followed to its end; -1 for a chain that runs into a cycle."""
+    links = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("cluster"), ((F.col("p_partkey") * 17 + F.col("p_size")) % 199).alias("next"))
+    return graphs.chain_lengths(links)
 
 
 def tree_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 import random
 
 import __spark_entry__ as entry
+from fluxmere.operators import graphs
 
 
 def rows(df):
@@ -34,3 +35,28 @@ def test_links_of_every_order(spark, tmp_path):
     assert (dst(chain[0]), dst(chain[9])) in want and (dst(chain[0]), dst(chain[10])) not in want
     assert got["masters_antijoin"] == [(s,) for s in sorted({s for s, _ in edges} - {d for _, d in edges})] != []
     assert got["undefined_refs"] == sorted((c, dst(k)) for k, c in orders if dst(k) % 2) != []
+
+
+def test_chains_to_their_end(spark, tmp_path):
+    parts = [(k, (k * k) % 50) for k in range(1, 230)]
+    spark.createDataFrame(parts, "p_partkey long, p_size long").write.parquet(f"{tmp_path}/part.parquet")
+    then = {k: (k * 17 + size) % 199 for k, size in parts}
+    want = []
+    for start in then:
+        at, n, seen = start, 1, {start}
+        while then[at] >= 2 and then[at] in then:
+            at, n = then[at], n + 1
+            if at in seen:
+                n = -1
+                break
+            seen.add(at)
+        want.append((start, n))
+    assert rows(entry.queries()["fat_chain_length"](spark, str(tmp_path))) == sorted(want)
+    assert min(n for _, n in want) == -1
+
+
+def test_long_chain(spark):
+    links = spark.createDataFrame([(k, k + 1) for k in range(2, 40)] + [(40, 999), (50, 51), (51, 50), (60, None), (61, 0)], "cluster long, next long")
+    got = dict(rows(graphs.chain_lengths(links)))
+    assert got == {k: 41 - k for k in range(2, 41)} | {50: -1, 51: -1, 60: 1, 61: 1}
+    assert graphs.chain_lengths(links.limit(0)).count() == 0
