@@ -1,9 +1,13 @@
 """Benchmark decontamination: documents that hold a benchmark item, or nearly so.
 
-A window of a document that is as long as an item is held against the item. A window
-without any of the item's shingles cannot be like it, so windows are made only where a
-shingle of the item stands, and only if the document has at least the share of the item's
-shingles that the wanted similarity implies; this loses nothing. Such windows and the items
+A window of a document that is as long as an item is held against the item. Only documents
+with at least the share of the item's shingles that the wanted similarity implies go on.
+There a window may start at any word, whatever the order of the item's parts in it. Moved to
+the right over words where no shingle of the item stands, a window loses nothing, so it is
+enough to start at each such shingle (or as late as a whole window can), and only where so
+many of them follow within the window as the similarity takes. Besides, windows start where
+the item would if the shingle stood in its place; only these may be cut off by the end of
+the document. Such windows and the items
 get 64-bit SimHash fingerprints. With a radius of ``RADIUS`` the fingerprint is cut into
 RADIUS + 1 blocks: two fingerprints within the radius agree on a block at least, so a join
 on (item, block, value) finds all of them. What is within the radius is decided by the
@@ -62,6 +66,20 @@ def _common(x: Column, y: Column) -> Column:
     return F.aggregate(F.transform(F.array_distinct(y), lambda h: F.least(count(x, h), count(y, h))), F.lit(0), lambda a, z: a + z)
 
 
+def _starts(percent: int) -> Column:
+    """Where windows start, from ``words``, ``hits`` (places of the item's shingles), ``aligned``, ``m``, ``n`` and ``size``."""
+    last = F.greatest(F.size("words") - F.col("n"), F.lit(0))
+    full = F.least(F.col("m"), F.size("words") - F.col("size") + 1)
+    need = F.ceil(F.lit(percent) * (F.col("m") + full) / F.lit(100 + percent)).cast("int")
+
+    def slid(known: Column) -> Column:
+        at_last = F.get("hits", F.size("hits") - known.need) >= known.last
+        inner = F.filter("hits", lambda p, i: (p < known.last) & (F.get("hits", i + known.need - 1) < p + known.full))
+        return F.concat(inner, F.when(at_last, F.array(known.last)).otherwise(F.array().cast("array<int>")))
+
+    return F.array_distinct(F.concat("aligned", let(F.struct(last.alias("last"), full.alias("full"), need.alias("need")), slid)))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 80, radius: int = RADIUS) -> DataFrame:
     """(doc_id, item_id, start_word, n_words, similarity): the best window of each document for each item that it holds.
 
@@ -84,16 +102,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 80, radiu
     found = None
     for s in sizes:
         each = text.select("doc_id", F.posexplode(_word_shingles(F.col("text"), s)).alias("pos", "h"))
-        met = each.join(sent_if_small(known.where(F.col("size") == s)), "h").select("doc_id", "item_id", "m", "off", (F.col("pos") - F.col("off")).alias("start"))
+        met = each.join(sent_if_small(known.where(F.col("size") == s)), "h").select("doc_id", "item_id", "m", "off", "pos")
         found = met if found is None else found.unionByName(met)
     found = cut(found.distinct())
     enough = found.select("doc_id", "item_id", "m", "off").distinct().groupBy("doc_id", "item_id", "m").agg(F.count("*").alias("hits")).where(F.col("hits") * 100 >= F.col("m") * percent)
-    starts = found.select("doc_id", "item_id", F.greatest("start", F.lit(0)).alias("start")).distinct().join(enough.select("doc_id", "item_id"), ["doc_id", "item_id"])
-    starts = cut(starts.join(items.select("item_id", "n", "size"), "item_id"))
+    places = found.join(enough.select("doc_id", "item_id"), ["doc_id", "item_id"])
+    places = places.groupBy("doc_id", "item_id", "m").agg(F.array_sort(F.collect_set("pos")).alias("hits"), F.collect_set(F.greatest(F.col("pos") - F.col("off"), F.lit(0))).alias("aligned"))
+    places = cut(places.join(items.select("item_id", "n", "size"), "item_id"))
 
-    held = text.join(sent_if_small(cut(starts.select("doc_id").distinct())), "doc_id", "left_semi")
+    held = text.join(sent_if_small(cut(places.select("doc_id").distinct())), "doc_id", "left_semi")
     held = held.select("doc_id", _words(F.col("text")).alias("words"))
-    cases = held.join(starts, "doc_id").withColumn("window", F.slice("words", F.col("start") + 1, F.col("n"))).drop("words")
+    cases = held.join(places, "doc_id").withColumn("start", F.explode(_starts(percent))).withColumn("window", F.slice("words", F.col("start") + 1, F.col("n"))).drop("words", "hits", "aligned")
     grams = None
     for s in sizes:
         grams = F.when(F.col("size") == s, _shingles(F.col("window"), s)) if grams is None else grams.when(F.col("size") == s, _shingles(F.col("window"), s))
