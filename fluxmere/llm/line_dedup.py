@@ -1,8 +1,8 @@
 """Line deduplication across documents: exact, and within one word edit.
 
 A line is dropped if an earlier line (by doc_id, then line number) has the same text, or,
-for lines of at least ``LEAST_WORDS`` words, is one word apart: a word replaced, put in or
-left out. The earliest stays. Lines without a word are never dropped.
+if the longer of the two has at least ``LEAST_WORDS`` words, is one word apart: a word
+replaced, put in or left out. The earliest stays. Lines without a word are never dropped.
 
 Equal lines meet by a 128-bit hash. Near lines meet by their deletion neighbourhoods: for
 each word of a line the line without it, as a hashed key. Lines of equal length that share a
@@ -13,8 +13,8 @@ so this join has about a row for each line. The edit distance is then checked on
 
 To keep neighbourhoods from being made for all lines, a coarse one comes first: words are
 dealt to three parts by hash; one edit touches at most two, so near lines agree on a part.
-Only lines that share a part's hash with another line go on. Nothing is collected, capped
-or sampled.
+Only lines that share a part's hash with another line go on. Lines of under ``PART_WORDS``
+words all go on, since their parts are often empty. Nothing is collected, capped or sampled.
 """
 
 from __future__ import annotations
@@ -27,7 +27,9 @@ from pyspark.sql import functions as F
 from .columns import GAP, WORD, let
 from .storage import cut, sent_if_small, table
 
-LEAST_WORDS = 10
+#: In lines of fewer words one word is too large a share for near copies.
+LEAST_WORDS = 4
+PART_WORDS = 8
 PARTS = 3
 
 
@@ -41,6 +43,11 @@ def _word_list(line: Column) -> Column:
     return F.filter(F.split(line, GAP), lambda w: w != "")
 
 
+def _words_of(line: str) -> Column:
+    """The words of a line that has some."""
+    return F.split(F.btrim(line, F.lit(" \t\n\x0b\x0c\r")), GAP)
+
+
 def _xor(hashes: Column) -> Column:
     return F.aggregate(hashes, F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(h))
 
@@ -77,19 +84,20 @@ def line_decisions(docs: DataFrame) -> DataFrame:
 
 
 def _near(docs: DataFrame, lines: DataFrame, parts: list[str]) -> DataFrame:
-    """Of the first occurrences of long lines."""
-    firsts = lines.where(F.col("n") >= LEAST_WORDS).groupBy("h", "g").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), *(F.first(p).alias(p) for p in parts))
+    """Of the first occurrences of lines of ``LEAST_WORDS`` words, or one less, and more."""
+    firsts = lines.where(F.col("n") >= PART_WORDS - 1).groupBy("h", "g").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), *(F.first(p).alias(p) for p in parts))
     coarse = [F.xxhash64(F.lit(k), *kept) for k, kept in enumerate(combinations(parts, PARTS - 2))]
     keyed = firsts.select("first.*", F.explode(F.array(*coarse)).alias("key"))
     shared = cut(keyed.groupBy("key").agg(F.count("*").alias("lines")).where("lines > 1").select("key"))
     chosen = cut(keyed.join(sent_if_small(shared), "key", "left_semi").select("doc_id", "line_no").distinct())
     text = _lines(docs).join(sent_if_small(chosen), ["doc_id", "line_no"], "left_semi").select("doc_id", "line_no", "line")
-    text = cut(text.dropDuplicates(["doc_id", "line_no"]))
+    short = _lines(docs).where(F.size(_words_of("line")).between(LEAST_WORDS - 1, PART_WORDS - 1)).groupBy("line").agg(F.min(F.struct("doc_id", "line_no")).alias("first"))
+    text = cut(text.unionByName(short.select("first.*", "line")).dropDuplicates(["doc_id", "line_no"]))
 
     place = ["doc_id", "line_no"]
     words = text.select(*place, _word_list(F.col("line")).alias("w"))
     placed = let(F.transform("w", lambda w, i: F.xxhash64(w, i)), lambda h: F.struct(h.alias("h"), _xor(h).alias("all")))
-    swap = words.select(*place, F.size("w").alias("n"), placed.alias("p"))
+    swap = words.where(F.size("w") >= LEAST_WORDS).select(*place, F.size("w").alias("n"), placed.alias("p"))
     swap = swap.select(*place, F.explode(F.transform("p.h", lambda h, i: F.xxhash64(F.col("p.all").bitwiseXOR(h), i, F.col("n")))).alias("key"))
     earliest = swap.groupBy("key").agg(F.min(F.struct(*place)).alias("other"), F.count("*").alias("members")).where("members > 1").select("key", "other")
     me = F.struct(*place).alias("me")
@@ -98,7 +106,7 @@ def _near(docs: DataFrame, lines: DataFrame, parts: list[str]) -> DataFrame:
     plain = let(F.transform("w", lambda w: F.xxhash64(w)), lambda h: F.struct(h.alias("h"), _xor(h).alias("all")))
     sums = words.select(me, F.size("w").alias("n"), plain.alias("p"))
     full = cut(sums.select(F.col("me").alias("whole"), "n", F.col("p.all").alias("key")))
-    less = sums.select("me", (F.col("n") - 1).alias("n"), F.explode(F.array_distinct(F.transform("p.h", lambda h: F.col("p.all").bitwiseXOR(h)))).alias("key"))
+    less = sums.where(F.col("n") >= LEAST_WORDS).select("me", (F.col("n") - 1).alias("n"), F.explode(F.array_distinct(F.transform("p.h", lambda h: F.col("p.all").bitwiseXOR(h)))).alias("key"))
     left_out = less.join(sent_if_small(full), ["n", "key"]).select(F.greatest("me", "whole").alias("me"), F.least("me", "whole").alias("other"))
 
     pairs = cut(swapped.unionByName(left_out).distinct())
