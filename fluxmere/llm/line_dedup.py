@@ -1,10 +1,11 @@
 """Line deduplication across documents: exact, and within one word edit.
 
-A line is dropped if an earlier line (by doc_id, then line number) has the same text, or,
+A line is dropped if an earlier line (by doc_id, then line number) has the same words (white
+space around and between them does not count, so CRLF equals LF), or,
 if the longer of the two has at least ``LEAST_WORDS`` words, is one word apart: a word
 replaced, put in or left out. The earliest stays. Lines without a word are never dropped.
 
-Equal lines meet by a 128-bit hash. Near lines meet by their deletion neighbourhoods: for
+Equal lines meet by a 128-bit hash of their words. Near lines meet by their deletion neighbourhoods: for
 each word of a line the line without it, as a hashed key. Lines of equal length that share a
 key for the same position differ in that word only, all of them from each other, so such a
 group is reduced to its earliest member and never paired. A line whose own words equal
@@ -72,7 +73,8 @@ def line_decisions(docs: DataFrame) -> DataFrame:
     ignored. No rows give no rows.
     """
     of = ["doc_id", "uid", "line_no", "h", "g"]
-    each = _lines(docs).select("doc_id", "uid", "line_no", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g"), F.explode(F.split("line", GAP)).alias("w")).where("w <> ''")
+    each = _lines(docs).select("doc_id", "uid", "line_no", _words_of("line").alias("ws"))
+    each = each.select("doc_id", "uid", "line_no", F.xxhash64("ws").alias("h"), F.xxhash64(F.lit(1), "ws").alias("g"), F.explode("ws").alias("w"))
     each = each.select(*of, F.xxhash64("w").alias("x"))
     parts = [f"p{k}" for k in range(PARTS)]
     sums = [F.bit_xor(F.when(F.pmod("x", F.lit(PARTS)) == k, F.col("x")).otherwise(F.lit(0).cast("long"))).alias(p) for k, p in enumerate(parts)]
@@ -91,7 +93,8 @@ def _near(docs: DataFrame, lines: DataFrame, parts: list[str]) -> DataFrame:
     shared = cut(keyed.groupBy("key").agg(F.count("*").alias("lines")).where("lines > 1").select("key"))
     chosen = cut(keyed.join(sent_if_small(shared), "key", "left_semi").select("doc_id", "line_no").distinct())
     text = _lines(docs).join(sent_if_small(chosen), ["doc_id", "line_no"], "left_semi").select("doc_id", "line_no", "line")
-    short = _lines(docs).where(F.size(_words_of("line")).between(LEAST_WORDS - 1, PART_WORDS - 1)).groupBy("line").agg(F.min(F.struct("doc_id", "line_no")).alias("first"))
+    short = _lines(docs).where(F.size(_words_of("line")).between(LEAST_WORDS - 1, PART_WORDS - 1))
+    short = short.groupBy(F.array_join(_words_of("line"), " ").alias("line")).agg(F.min(F.struct("doc_id", "line_no")).alias("first"))
     text = cut(text.unionByName(short.select("first.*", "line")).dropDuplicates(["doc_id", "line_no"]))
 
     place = ["doc_id", "line_no"]

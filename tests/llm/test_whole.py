@@ -41,3 +41,12 @@ def test_short_lines(spark):
     w = [line.split() for line in lines]
     want = [k for k in range(len(w)) if any(max(len(w[j]), len(w[k])) >= 4 and one_apart(w[j], w[k]) for j in range(k))]
     assert near(spark, lines) == want and len(want) == 19
+
+
+def test_white_space(spark):
+    rng = random.Random(7)
+    base = [sentence(rng, n) for n in (1, 2, 5, 12, 30)]
+    w = base[3].split()
+    texts = ["\n".join(base), "\r\n".join(base) + "\r", "\n".join(f"  {x.replace(' ', '  ')}\t" for x in base), " ".join([*w[:4], "other", *w[5:]])]
+    got = {r.doc_id: (r.n_exact, r.n_near) for r in line_dedup.line_report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {0: (0, 0), 1: (5, 0), 2: (5, 0), 3: (0, 1)}
