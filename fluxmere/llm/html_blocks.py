@@ -22,6 +22,10 @@ _BOILER = re.compile(
     r"widgets?|tagcloud|copyright|toolbar|popups?|modals?|overlay|skip|feedback|forms?|rail|hidden|disclaimer)$"
 )
 _MAIN = re.compile(r"^(?:content|article\w*|posts?|entry|story|main\w*|body|maincontent|text|prose)$")
+#: Marks that hold for an article too: comments and teasers are often articles themselves.
+_OTHERS = re.compile(r"^(?:comments?\w*|disqus\w*|respond|repl(?:y|ies)|discussion|related\w*|recommend\w*|popular|trending|hidden|ads?\d*|advert\w*|sponsor\w*|promos?|promotions?)$")
+#: Elements whose text is no markup: without an end they take the rest of the page. Other raw ones go on as markup.
+TO_THE_END = frozenset("script style textarea title".split())
 _ATTR = re.compile(r"""\b(class|id|role|itemprop|style|aria-hidden|hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""", re.I)
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _SPLIT = re.compile(r"[^A-Za-z0-9]+")
@@ -44,6 +48,8 @@ class _Open:
     name: str
     main: bool = False
     boiler: bool = False
+    #: Whether only class or id tokens of layout mark it, which an article or main element within takes back.
+    weak: bool = True
 
 
 @dataclass
@@ -82,14 +88,17 @@ class _Page:
             return
         if name in CONTAINER or (name in ITEM or name in ("span", "h1", "h2", "h3", "h4", "h5", "h6")) and "=" in tag:
             outer = self.stack[-1] if self.stack else _Open("")
-            main, boiler = self.kind(name, tag, outer.main)
+            main, boiler, weak, article = self.kind(name, tag, outer.main)
+            kept = outer.boiler and not (article and not boiler and outer.weak)
             if name in CONTAINER or main or boiler:
-                self.stack.append(_Open(name, outer.main or main, outer.boiler or boiler))
+                self.stack.append(_Open(name, outer.main or main, kept or boiler, (outer.weak or not kept) and (weak or not boiler)))
 
     @staticmethod
-    def kind(name: str, tag: str, inside: bool) -> tuple[bool, bool]:
+    def kind(name: str, tag: str, inside: bool) -> tuple[bool, bool, bool, bool]:
+        """main, boiler, whether boiler by tokens of layout only, whether an article or main element."""
         main = name in ("article", "main")
         boiler = name in BOILER_TAGS or name == "header" and not inside
+        weak = article = False
         if "=" in tag or " hidden" in tag:
             tokens: list[str] = []
             for key, a, b, c in _ATTR.findall(tag):
@@ -108,10 +117,15 @@ class _Page:
                     boiler |= value.lower() == "true"
                 else:
                     boiler = True
+            article = main
             if tokens:
-                boiler |= any(_BOILER.match(t) and not (t == "header" and inside) for t in tokens)
+                marks = [t for t in tokens if _BOILER.match(t) and not (t == "header" and inside)]
+                if article:
+                    marks = [t for t in marks if _OTHERS.match(t)]
+                weak = not boiler and not any(map(_OTHERS.match, marks))
+                boiler |= bool(marks)
                 main |= name in ("div", "section", "td") and any(_MAIN.match(t) for t in tokens)
-        return main and not boiler, boiler
+        return main and not boiler, boiler, weak, article or name in ("article", "main")
 
     def close(self, name: str) -> None:
         if name in BLOCK:
@@ -139,8 +153,9 @@ def _tag_end(text: str, at: int) -> int:
 
 
 def blocks(text: str) -> list[Block]:
-    """Every non-empty text block in page order. Markup that never ends takes the rest with it."""
+    """Every non-empty text block in page order. A comment, tag, script, style, textarea or title that never ends takes the rest with it."""
     page, at, n = _Page(), 0, len(text)
+    endless: set[str] = set()
     while at < n:
         lt = text.find("<", at)
         if lt < 0:
@@ -172,10 +187,12 @@ def blocks(text: str) -> list[Block]:
         name = _NAME.match(text, lt + 1).group().lower()
         tag = text[lt:end]
         at = end
-        if name in RAW and not tag.endswith("/>"):
+        if name in RAW and name not in endless and not tag.endswith("/>"):
             close = re.compile(rf"</{name}[\s/>]", re.I).search(text, end)
-            at = n if not close else _tag_end(text, close.start() + 1)
-            continue
+            if close or name in TO_THE_END:
+                at = n if not close else _tag_end(text, close.start() + 1)
+                continue
+            endless.add(name)
         page.open(name, tag)
     page.end_block()
     return page.blocks
