@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..llm.storage import cut
+from ..storage import cut
 
 #: Length of a chain that runs into a cycle.
 ENDLESS = -1

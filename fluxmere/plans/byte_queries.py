@@ -68,8 +68,7 @@ def _nibbles(name: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def hex_dump_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = table(spark, sf_dir, "benchmark").select("item_id", binary.utf8(F.col("text")).alias("b"))
-    return items.select("item_id", F.posexplode(binary.hex_rows(F.col("b"))).alias("row_no", "line")).select("item_id", F.col("row_no").cast("long").alias("row_no"), "line")
+    return _docs(spark, sf_dir).select("doc_id", F.posexplode(binary.hex_rows(F.col("b"))).alias("row_no", "line")).select("doc_id", F.col("row_no").cast("long").alias("row_no"), "line")
 
 
 def escaped_ascii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,9 +102,8 @@ def fat12_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def records_from_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "benchmark").select("item_id", binary.utf8(F.col("text")).alias("b"))
-    found = files.records(files.desequence(pages, "item_id", F.col("b"), CHUNK), "item_id", RECORD, CHUNK)
-    return found.select("item_id", "rec_no", F.md5(F.encode("text", "ISO-8859-1")).alias("digest"))
+    found = files.records(files.desequence(_docs(spark, sf_dir), "doc_id", F.col("b"), CHUNK), "doc_id", RECORD, CHUNK)
+    return found.select("doc_id", "rec_no", F.md5(F.encode("text", "ISO-8859-1")).alias("digest"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -155,11 +153,11 @@ FROM documents AS d LEFT JOIN u USING (doc_id) GROUP BY d.doc_id, d.text""",
     "nibble_53": _mapped(_pick(binary.NIBBLES_53, "x & 31")),
     "nibble_g64": _mapped(f"concat({_HEX2.format(_G64)}, {_HEX2.format('(' + _pair('x & 15') + ' << 6) & 255')})"),
     "hex_dump_rows": """
-WITH h AS (SELECT item_id, regexp_extract_all(hex(encode(text)), '..') AS hs FROM benchmark),
-r AS (SELECT item_id, unnest(range(0, (len(hs) + 15) // 16)) AS row_no, hs FROM h),
-s AS (SELECT item_id, row_no, hs[row_no * 16 + 1:row_no * 16 + 16] AS c FROM r),
+WITH h AS (SELECT doc_id, regexp_extract_all(hex(encode(text)), '..') AS hs FROM documents),
+r AS (SELECT doc_id, unnest(range(0, (len(hs) + 15) // 16)) AS row_no, hs FROM h),
+s AS (SELECT doc_id, row_no, hs[row_no * 16 + 1:row_no * 16 + 16] AS c FROM r),
 v AS (SELECT *, list_transform(c, lambda x: CAST(concat('0x', x) AS INTEGER)) AS n, 16 - len(c) AS blank FROM s)
-SELECT item_id, row_no, concat(lpad(to_hex(row_no * 16), 4, '0'), ' : ', array_to_string(list_transform(c, lambda x: concat(x, ' ')), ''), repeat('   ', blank), '|+| ',
+SELECT doc_id, row_no, concat(lpad(to_hex(row_no * 16), 4, '0'), ' : ', array_to_string(list_transform(c, lambda x: concat(x, ' ')), ''), repeat('   ', blank), '|+| ',
   array_to_string(list_transform(n, lambda x: CASE WHEN x >= 32 AND x < 127 THEN chr(x) ELSE '.' END), ''), ' ', repeat(' ', blank), '|-| ',
   array_to_string(list_transform(n, lambda x: CASE WHEN x >= 160 AND x < 255 THEN chr(x - 128) ELSE '.' END), '')) AS line FROM v""",
     "escaped_ascii": rf"SELECT doc_id, coalesce(array_to_string(list_transform({_BYTES}, lambda x: CASE WHEN x BETWEEN 32 AND 126 THEN chr(x) ELSE concat('\x', {_HEX2.format('x')}) END), ''), '') AS escaped FROM documents",
@@ -175,7 +173,7 @@ WITH v AS (SELECT doc_id, {_BYTES} AS v FROM documents), e AS (SELECT doc_id, un
 w AS (SELECT doc_id, CASE WHEN n % 2 = 1 THEN word >> 4 ELSE word & 4095 END AS x FROM (SELECT doc_id, n, v[n + n // 2 + 1] + 256 * v[n + n // 2 + 2] AS word FROM e))
 SELECT d.doc_id, count(x) AS n, CAST(coalesce(sum(x), 0) AS BIGINT) AS total, CAST(count(*) FILTER (WHERE x = 4087) AS BIGINT) AS n_bad FROM documents AS d LEFT JOIN w USING (doc_id) GROUP BY d.doc_id""",
     "records_from_chunks": f"""
-WITH h AS (SELECT item_id, hex(encode(text)) AS h, octet_length(encode(text)) AS n FROM benchmark), r AS (SELECT item_id, h, n, unnest(range(0, n // {RECORD} + 2)) AS rec_no FROM h)
-SELECT item_id, rec_no, md5(unhex(substr(h, rec_no * {2 * RECORD} + 1, {2 * RECORD}))) AS digest FROM r
+WITH h AS (SELECT doc_id, hex(encode(text)) AS h, octet_length(encode(text)) AS n FROM documents), r AS (SELECT doc_id, h, n, unnest(range(0, n // {RECORD} + 2)) AS rec_no FROM h)
+SELECT doc_id, rec_no, md5(unhex(substr(h, rec_no * {2 * RECORD} + 1, {2 * RECORD}))) AS digest FROM r
 WHERE rec_no * {RECORD} < n AND ((rec_no + 1) * {RECORD}) // {CHUNK} < (n + {CHUNK - 1}) // {CHUNK}""",
 }
