@@ -10,6 +10,8 @@ all documents has is ranked by many tasks.
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -24,6 +26,10 @@ from .storage import cut, ship
 #: Pieces of a length that one task ranks.
 SHARE = 1000
 END = 1
+#: Texts, and characters of a text, that the tokenizer gets at once; bounds a worker's memory.
+TEXTS_AT_ONCE = 64
+PART_CHARS = 500_000
+_CUT = re.compile("[A-Za-z](?= [A-Za-z])")
 
 
 def shortest_pack_first(histogram: dict[int, int], room: int) -> list[tuple[int, list[tuple[int, int]]]]:
@@ -64,20 +70,39 @@ def _slots(patterns: list[tuple[int, list[tuple[int, int]]]]) -> np.ndarray:
     return np.array(sorted(rows), np.int64).reshape(-1, 5)
 
 
-def _pieces(path: str, pattern: str, room: int):
+def _parts(text: str) -> Iterator[str]:
+    """A long text in parts whose ids, one after another, are its own: cut between a word's last letter and a blank before the next word, where a pre-token always ends."""
+    at = 0
+    while len(text) - at > PART_CHARS and (found := _CUT.search(text, at + PART_CHARS)):
+        yield text[at : found.end()]
+        at = found.end()
+    yield text[at:]
+
+
+def _pieces(path: str, room: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from .pretokens import Encoder
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
 
-        encoder = Encoder(path, pattern)
+        tokenizer = Tokenizer.from_file(path)
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+
+        def encoded(texts: list[str]) -> list[np.ndarray]:
+            return [np.array(x.ids, "<u4") for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
         for batch in batches:
             rows, at = [], []
-            for i, ids in enumerate(encoder.encode(batch.column("text"))):
-                ids = np.append(ids, np.uint32(END)).astype("<u4")
-                for start in range(0, len(ids), room):
-                    part = ids[start : start + room]
-                    at.append(i)
-                    rows.append((start, len(part), zlib.crc32(part.tobytes()), len(ids)))
+            for k in range(0, batch.num_rows, TEXTS_AT_ONCE):
+                texts = [x or "" for x in batch.column("text").slice(k, TEXTS_AT_ONCE).to_pylist()]
+                short = [t for t in texts if len(t) <= PART_CHARS]
+                ids_of = iter(encoded(short))
+                for i, text in enumerate(texts, k):
+                    ids = next(ids_of) if len(text) <= PART_CHARS else np.concatenate([encoded([part])[0] for part in _parts(text)])
+                    ids = np.append(ids, np.array([END], "<u4"))
+                    for start in range(0, len(ids), room):
+                        part = ids[start : start + room]
+                        at.append(i)
+                        rows.append((start, len(part), zlib.crc32(part.tobytes()), len(ids)))
             cols = np.array(rows, np.int64).reshape(-1, 4)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(at, pa.int64())), *(pa.array(cols[:, k]) for k in range(4))], names=names)
 
@@ -99,18 +124,20 @@ def _placed(slots):
     return run
 
 
-def pack(docs: DataFrame, vocabulary: str, pattern: str, max_tokens: int = 2048) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, max_tokens: int = 2048) -> DataFrame:
     """Pieces of ``docs(doc_id, text)``: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    ``vocabulary`` is the path of a file of byte-pair ranks that executors have, ``pattern``
-    its pre-token pattern. A document is its ids and the id 1; a null or empty text is that id
-    alone. A repeated row and rows with the same doc_id are packed as often as they come; a
-    null doc_id stays null. Other columns are ignored. An empty table gives no rows.
+    ``tokenizer`` is the path of a tokenizers file with a byte-level pre-tokenizer, which
+    executors have. A document is its ids, with the vocabulary's special strings read as their
+    ids, and the id 1; a null or empty text is that id alone. A repeated row and rows with the
+    same doc_id are packed as often as they come; a null doc_id stays null. Other columns are
+    ignored. An empty table gives no rows.
     """
     spark = docs.sparkSession
     ship(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    pieces = cut(docs.mapInArrow(_pieces(vocabulary, pattern, max_tokens), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"))
+    pieces = docs.mapInArrow(_pieces(tokenizer, max_tokens), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
+    pieces = cut(pieces.withColumn("salt", F.xxhash64("doc_id", "start", "ids_crc32", F.monotonically_increasing_id())))
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     slots = spark.sparkContext.broadcast(_slots(shortest_pack_first(histogram, max_tokens)))
 
@@ -119,7 +146,7 @@ def pack(docs: DataFrame, vocabulary: str, pattern: str, max_tokens: int = 2048)
     if shares:
         of = F.create_map(*(F.lit(x) for pair in sorted(shares.items()) for x in pair))
         many = F.coalesce(F.try_element_at(of, F.col("length").cast("int")), F.lit(1))
-    dealt = pieces.withColumn("share", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", F.monotonically_increasing_id()), many))
+    dealt = pieces.withColumn("share", F.pmod("salt", many)).drop("salt")
     counts = cut(dealt.groupBy("length", "share").agg(F.count("*").alias("n")))
     before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("share").rowsBetween(Window.unboundedPreceding, -1))).select("length", "share", F.coalesce("before", F.lit(0)).alias("before"))
     ranked = dealt.withColumn("own", F.row_number().over(Window.partitionBy("length", "share").orderBy("doc_id", "start", "ids_crc32")))

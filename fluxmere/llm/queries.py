@@ -23,9 +23,7 @@ def _vocabulary(name: str) -> str:
 
 
 def pack_documents(docs: DataFrame, max_tokens: int = 2048) -> DataFrame:
-    import public_tokenizers
-
-    return packing.pack(docs, _vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, max_tokens)
+    return packing.pack(docs, _vocabulary("byte_bpe_50k.json"), max_tokens)
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -48,29 +48,34 @@ def low(t):
     return re.sub("[A-Z]", lambda m: m.group().lower(), t or "")
 
 
-def test_packing(docs, empty):
+def test_packing(spark, empty):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
+    given = [*texts(), "a <|endoftext|> b", "\u1c89\U000105c0\U00013d04'll it's", "tail of words " * 80_000]
+    ids = [[*tokenizer.encode(t or "", add_special_tokens=False).ids, 1] for t in given]
+    docs = spark.createDataFrame([(k, t, 1) for k, t in enumerate(given)] + [(3, given[3], 1), (None, "x", 1)], "doc_id long, text string, length long").repartition(3)
     got = queries.pack_documents(docs).collect()
-    pieces, sequences = defaultdict(set), defaultdict(list)
+    pieces, sequences = defaultdict(list), defaultdict(list)
     for r in got:
-        ids = [*tokenizer.encode(texts()[r.doc_id] or "", add_special_tokens=False).ids, 1]
-        part = ids[r.start : r.start + r.length]
-        assert (len(part), len(ids)) == (r.length, r.doc_tokens)
-        assert zlib.crc32(b"".join(x.to_bytes(4, "little") for x in part)) == r.ids_crc32
-        pieces[r.doc_id].add((r.start, r.length))
+        if r.doc_id is not None:
+            part = ids[r.doc_id][r.start : r.start + r.length]
+            assert (len(part), len(ids[r.doc_id])) == (r.length, r.doc_tokens)
+            assert zlib.crc32(b"".join(x.to_bytes(4, "little") for x in part)) == r.ids_crc32
+        pieces[r.doc_id].append((r.start, r.length))
         sequences[r.sequence_id].append((r.offset, r.length))
-    for k in range(len(texts())):
+    assert len(pieces[3]) == 2 * len(set(pieces[3])) and len(pieces[None]) == 1
+    for k in range(len(given)):
         at = 0
-        for start, length in sorted(pieces[k]):
+        for start, length in sorted(set(pieces[k])):
             assert start == at
             at += length
+        assert at == len(ids[k]) and (k == 3 or len(pieces[k]) == len(set(pieces[k])))
     for parts in sequences.values():
         at = 0
         for offset, length in sorted(parts):
             assert offset == at
             at += length
         assert at <= 2048
+    assert sum(length for parts in sequences.values() for _, length in parts) > 0.97 * 2048 * len(sequences)
     assert queries.pack_documents(empty).count() == 0
 
 
