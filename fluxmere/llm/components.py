@@ -14,7 +14,8 @@ def components(links: DataFrame) -> DataFrame:
     Links may repeat, point either way or join a node with itself; null ends are ignored;
     an empty table gives no rows. Each round takes the least label of a node's neighbours
     and then the label of that label, so rounds grow with the logarithm of the diameter.
-    A hot node costs one pre-aggregated row per task; nothing is collected.
+    Labels of neighbours are aggregated within tasks before they are sent; a node or label that
+    many rows share is one key of a join, which adaptive execution splits. Nothing is collected.
     """
     links = links.where("a is not null and b is not null and a <> b")
     both = cut(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())

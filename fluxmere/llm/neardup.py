@@ -37,8 +37,10 @@ WIDE = 8
 _RNG = np.random.Generator(np.random.PCG64(7))
 _A = _RNG.integers(1, 2**63, GROUPS * PER_GROUP, dtype=np.uint64) | np.uint64(1)
 _B = _RNG.integers(1, 2**63, GROUPS * PER_GROUP, dtype=np.uint64)
-#: Documents sent to Python at once; bounds a worker's memory for pairs of long documents.
-PAIRS_AT_ONCE = 256
+#: Bytes of shingle sets that leave a Python worker at once.
+SET_BYTES = 1 << 20
+#: Classes with more than one in so many of all documents are met by a broadcast, of at most as many rows.
+HOT = 20_000
 
 
 def _collections(grams: np.ndarray) -> np.ndarray:
@@ -81,11 +83,18 @@ def _signatures(size: int):
 
 def _sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(first: int, sets: list[bytes]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([ids.slice(first, len(sets)), pa.array(sets, pa.binary())], names=["id", "grams"])
+
         for batch in batches:
-            grams = [g.tobytes() for g in _grams(batch.column("text"), size)]
-            for k in range(0, len(grams), PAIRS_AT_ONCE):
-                part = grams[k : k + PAIRS_AT_ONCE]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(k, len(part)), pa.array(part, pa.binary())], names=["id", "grams"])
+            ids, held, sets = batch.column("doc_id"), 0, []
+            for i, grams in enumerate(_grams(batch.column("text"), size)):
+                sets.append(grams.tobytes())
+                held += len(sets[-1])
+                if held > SET_BYTES:
+                    yield out(i + 1 - len(sets), sets)
+                    held, sets = 0, []
+            yield out(batch.num_rows - len(sets), sets)
 
     return run
 
@@ -175,7 +184,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     keys = [f"c{k}" for k in range(GROUPS)]
     base = cut(docs.mapInArrow(_signatures(size), "doc_id long, n_shingles long, f1 long, f2 long, " + ", ".join(f"{k} long" for k in keys)))
     of = ["n_shingles", "f1", "f2"]
-    classes = cut(base.where("n_shingles > 0 and doc_id is not null").groupBy(*of).agg(F.min("doc_id").alias("class"), *(F.first(k).alias(k) for k in keys)))
+    classes = cut(base.where("n_shingles > 0 and doc_id is not null").groupBy(*of).agg(F.min("doc_id").alias("class"), F.count("*").alias("documents"), *(F.first(k).alias(k) for k in keys)))
     tables = [(i, j) for i in range(GROUPS) for j in range(i)]
     buckets = classes.select("class", "n_shingles", F.posexplode(F.array(*(F.xxhash64(F.lit(n), f"c{i}", f"c{j}") for n, (i, j) in enumerate(tables)))).alias("t", "key"))
     shared = buckets.groupBy("key").agg(F.min("class").alias("a"), F.min_by("n_shingles", "class").alias("na"), F.count("*").alias("members")).where("members > 1")
@@ -211,7 +220,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         narrow = narrow.withColumn("shape", F.lit(None).cast("array<short>")).unionByName(able.select(*narrow.columns, "shape"))
     else:
         narrow = narrow.withColumn("shape", F.lit(None).cast("array<short>"))
-    narrow = narrow.join(classes.select("class", F.array(*(F.col(k).bitwiseAND(0x7FFFFFFF).cast("int") for k in keys)).alias("c")), "class")
+    narrow = narrow.join(classes.select("class", F.array(*keys).alias("c")), "class")
     x, y = narrow.alias("x"), narrow.alias("y")
     enough = lambda both: F.coalesce(both * (100 + percent) >= (F.col("x.n_shingles") + F.col("y.n_shingles")) * percent, F.lit(True))
     lesser = F.aggregate(F.zip_with("x.shape", "y.shape", lambda a, b: F.least(a, b)), F.lit(0), lambda a, n: a + n)
@@ -222,6 +231,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     if more.limit(1).count():
         label = components(links.unionByName(more))
 
-    named = base.select("doc_id", *of).join(classes.select(*of, "class"), of, "left").join(label.select(F.col("node").alias("class"), "component"), "class", "left")
-    one = F.coalesce("component", "class", "doc_id")
-    return named.select("doc_id", "n_shingles", one.alias("component_id"), F.coalesce(F.col("doc_id") == one, F.lit(True)).alias("kept"))
+    known = classes.join(label.select(F.col("node").alias("class"), "component"), "class", "left").select(*of, "documents", F.coalesce("component", "class").alias("component_id"))
+    narrow = base.select("doc_id", *of)
+    rest = narrow.where("n_shingles > 0 and doc_id is not null")
+    level = max(base.count() // HOT, 1000)
+    hot = F.broadcast(known.where(F.col("documents") > level).drop("documents"))  # at most HOT rows
+    met = rest.join(hot, of).unionByName(rest.join(hot, of, "left_anti").join(known.where(F.col("documents") <= level).drop("documents"), of))
+    alone = narrow.where("n_shingles = 0 or doc_id is null").withColumn("component_id", F.col("doc_id"))
+    found = met.unionByName(alone.select(*met.columns))
+    return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
