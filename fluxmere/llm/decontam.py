@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .columns import let
+from .columns import let, unused
 from .storage import cut, sent_if_small
 
 RADIUS = 19
@@ -133,5 +133,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 80, radiu
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that hold no item, with all their columns. A null doc_id is kept."""
-    bad = sent_if_small(cut(contaminated(docs, benchmark).select(F.col("doc_id").alias("_doc")).distinct()))
-    return docs.join(bad, F.col("doc_id").cast("long") == F.col("_doc"), "left_anti")
+    name = unused("contaminated_doc", docs)
+    bad = sent_if_small(cut(contaminated(docs, benchmark).select(F.col("doc_id").alias(name)).distinct()))
+    return docs.join(bad, docs["doc_id"].cast("long") == bad[name], "left_anti")

@@ -14,6 +14,8 @@ import hashlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .columns import unused
+
 SLOTS = 65_537
 MOST_SLOTS = 4_000_000
 
@@ -57,6 +59,8 @@ def assign(df: DataFrame, key: str, shards: list[str], slots: int = SLOTS) -> Da
     Equal keys share a shard; a null key is placed as the empty text; repeated rows are kept;
     an empty table stays empty. Columns of df named slot or shard are replaced.
     """
-    df = df.drop("slot", "shard")
-    placed = df.withColumn("slot", slot_of(F.col(key), slots))
-    return placed.join(F.broadcast(lookup(df.sparkSession, fill(shards, slots))), "slot").select(*df.columns, "slot", "shard")
+    kept = [c for c in df.columns if c.lower() not in ("slot", "shard")]
+    at, to = unused("placed_slot", df), unused("placed_shard", df)
+    table = lookup(df.sparkSession, fill(shards, slots)).toDF(at, to)
+    placed = df.withColumn(at, slot_of(df[key], slots)).select(*kept, at)
+    return placed.join(F.broadcast(table), at).select(*kept, F.col(at).alias("slot"), F.col(to).alias("shard"))
