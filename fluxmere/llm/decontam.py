@@ -11,8 +11,12 @@ the document. Such windows and the items
 get 64-bit SimHash fingerprints. With a radius of ``RADIUS`` the fingerprint is cut into
 RADIUS + 1 blocks: two fingerprints within the radius agree on a block at least, so a join
 on (item, block, value) finds all of them. What is within the radius is decided by the
-exact weighted Jaccard similarity of the shingle multisets. (At a similarity of 0.8 the
-expected distance is 10 bits with a deviation of 3.)
+exact weighted Jaccard similarity of the shingle multisets.
+
+At a similarity of 0.8 the expected distance is 10 bits with a deviation of 3, so the radius
+leaves five deviations. No lossless block index selects much at such a radius: blocks of two
+or three bits agree by chance as a rule. So candidates come from the shingles, which lose
+nothing, and the fingerprints save exact comparisons of windows.
 
 All steps are built-in expressions. The benchmark's shingles are sent to all tasks only
 after a count has shown them few; else they are joined by a shuffle.
@@ -26,7 +30,7 @@ from pyspark.sql import functions as F
 from .columns import let, unused
 from .storage import cut, sent_if_small
 
-RADIUS = 19
+RADIUS = 24
 SHINGLE = 5
 
 
@@ -61,15 +65,17 @@ def blocks(fingerprint: Column, radius: int = RADIUS) -> Column:
 
 
 def _common(x: Column, y: Column) -> Column:
-    """Size of the intersection of two multisets."""
+    """Size of the intersection of two multisets: each common value once, and what is common beyond that of the few that repeat."""
+    again = lambda a: let(F.sort_array(a), lambda s: F.filter(s, lambda h, i: F.coalesce(h == F.get(s, i - 1), F.lit(False))))
     count = lambda a, h: F.size(F.filter(a, lambda z: z == h))
-    return F.aggregate(F.transform(F.array_distinct(y), lambda h: F.least(count(x, h), count(y, h))), F.lit(0), lambda a, z: a + z)
+    beyond = lambda p: F.aggregate(F.array_distinct(p.y), F.lit(0), lambda n, h: n + F.least(count(p.x, h), count(p.y, h)))
+    return F.size(F.array_intersect(x, y)) + let(F.struct(again(x).alias("x"), again(y).alias("y")), beyond)
 
 
 def _starts(percent: int) -> Column:
-    """Where windows start, from ``words``, ``hits`` (places of the item's shingles), ``aligned``, ``m``, ``n`` and ``size``."""
-    last = F.greatest(F.size("words") - F.col("n"), F.lit(0))
-    full = F.least(F.col("m"), F.size("words") - F.col("size") + 1)
+    """Where windows start, from ``total`` (words of the document), ``hits`` (places of the item's shingles), ``aligned``, ``m``, ``n`` and ``size``."""
+    last = F.greatest(F.col("total") - F.col("n"), F.lit(0))
+    full = F.least(F.col("m"), F.col("total") - F.col("size") + 1)
     need = F.ceil(F.lit(percent) * (F.col("m") + full) / F.lit(100 + percent)).cast("int")
 
     def slid(known: Column) -> Column:
@@ -111,12 +117,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 80, radiu
     places = cut(places.join(items.select("item_id", "n", "size"), "item_id"))
 
     held = text.join(sent_if_small(cut(places.select("doc_id").distinct())), "doc_id", "left_semi")
-    held = held.select("doc_id", _words(F.col("text")).alias("words"))
-    cases = held.join(places, "doc_id").withColumn("start", F.explode(_starts(percent))).withColumn("window", F.slice("words", F.col("start") + 1, F.col("n"))).drop("words", "hits", "aligned")
+    cases = held.select("doc_id", _words(F.col("text")).alias("words")).join(places, "doc_id")
     grams = None
-    for s in sizes:
-        grams = F.when(F.col("size") == s, _shingles(F.col("window"), s)) if grams is None else grams.when(F.col("size") == s, _shingles(F.col("window"), s))
-    cases = cut(cases.select("doc_id", "item_id", "start", F.size("window").alias("n_words"), grams.alias("grams")).where("size(grams) > 0"))
+    for k in sizes:
+        grams = F.when(F.col("size") == k, _shingles(F.col("words"), k)) if grams is None else grams.when(F.col("size") == k, _shingles(F.col("words"), k))
+    cases = cases.select("doc_id", "item_id", "m", "n", "size", "hits", "aligned", F.size("words").alias("total"), grams.alias("all"))
+    cases = cases.select("doc_id", "item_id", "m", "n", "total", "all", F.explode(_starts(percent)).alias("start"))
+    cases = cut(cases.select("doc_id", "item_id", "start", F.least("n", F.col("total") - F.col("start")).alias("n_words"), F.slice("all", F.col("start") + 1, F.col("m")).alias("grams")).where("size(grams) > 0"))
 
     print_of = items.select("item_id", "grams", simhash(F.col("grams")).alias("print"))
     marked = cases.withColumn("print", simhash(F.col("grams")))
