@@ -68,3 +68,8 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 def sent_if_small(df: DataFrame, rows: int = SENT_ROWS) -> DataFrame:
     """A checkpointed table of narrow rows, marked for broadcast if a count shows it small; joined by shuffle beyond that."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def gathered(df: DataFrame, rows: int, each: int = 50_000) -> DataFrame:
+    """A table of so many narrow rows in no more partitions than they fill, without a shuffle."""
+    return df.coalesce(max(1, -(-rows // each)))
