@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import cut
+from .storage import SENT_ROWS, cut, gathered
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -19,13 +19,16 @@ def components(links: DataFrame) -> DataFrame:
     """
     links = links.where("a is not null and b is not null and a <> b")
     both = cut(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    label = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component"))
-    label = cut(label)
+    ends = both.count()
+    both = gathered(both, ends)
+    label = cut(gathered(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component")), ends))
+    send = F.broadcast if label.count() <= SENT_ROWS else lambda df: df
     while True:
-        seen = both.join(label, both.b == label.node).groupBy("a").agg(F.min("component").alias("m"))
-        near = label.join(seen, label.node == seen.a).select("node", F.col("component").alias("old"), F.least("component", "m").alias("c"))
+        seen = both.join(send(label), both.b == label.node).select(both.a.alias("node"), "component", F.lit(None).cast("long").alias("old"))
+        own = label.select("node", "component", F.col("component").alias("old"))
+        near = seen.unionByName(own).groupBy("node").agg(F.max("old").alias("old"), F.min("component").alias("c"))
         up = label.select(F.col("node").alias("c"), F.col("component").alias("cc"))
-        nxt = cut(near.join(up, "c", "left").select("node", "old", F.least("c", "cc").alias("component")))
+        nxt = cut(gathered(near.join(send(up), "c", "left").select("node", "old", F.least("c", "cc").alias("component")), ends))
         changed = nxt.where("old <> component").limit(1).count()
         label = nxt.select("node", "component")
         if not changed:

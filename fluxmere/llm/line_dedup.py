@@ -81,9 +81,12 @@ def line_decisions(docs: DataFrame) -> DataFrame:
     firsts = table(first, "line-firsts")
     many = firsts.where("copies > 1").select("h", "g", "first", "copies")
     level = max(lines.count() // HOT, 1000)
-    hot = F.broadcast(many.where(F.col("copies") > level).drop("copies"))  # at most HOT rows
-    narrow = lines.select(*PLACE, "h", "g")
-    met = narrow.join(hot, ["h", "g"]).unionByName(narrow.join(hot, ["h", "g"], "left_anti").join(many.where(F.col("copies") <= level).drop("copies"), ["h", "g"]))
+    hot, narrow = many.where(F.col("copies") > level).drop("copies"), lines.select(*PLACE, "h", "g")  # at most HOT rows are hot
+    if hot.limit(1).count():
+        hot, many = F.broadcast(hot), many.where(F.col("copies") <= level)
+        met = narrow.join(hot, ["h", "g"]).unionByName(narrow.join(hot, ["h", "g"], "left_anti").join(many.drop("copies"), ["h", "g"]))
+    else:
+        met = narrow.join(many.drop("copies"), ["h", "g"])
     exact = met.where(~F.struct(*PLACE).eqNullSafe(F.col("first"))).select(*PLACE, F.lit("exact").alias("kind"))
     return exact.unionByName(_near(docs, firsts)).distinct()
 

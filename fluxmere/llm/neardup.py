@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from . import textvec
 from .columns import let
 from .components import components
-from .storage import cut, sent_if_small, ship
+from .storage import SENT_ROWS, cut, gathered, sent_if_small, settled, ship
 
 GROUPS = 12
 PER_GROUP = 2
@@ -137,15 +137,21 @@ def _histograms(size: int):
 
 def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """One row of ``docs`` for each of ``ids(doc_id)``; ids that a count shows to be few go to the texts, not the texts to them."""
-    return docs.join(sent_if_small(cut(ids)), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    ids = cut(ids)
+    n = ids.count()
+    ids = gathered(ids, n)
+    found = docs.join(F.broadcast(ids) if n <= SENT_ROWS else ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return gathered(found, n, 2000)
 
 
 def _links(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
     """Those of the checkpointed ``pairs(a, b)`` whose full sets are alike enough, with the texts read again for their documents only."""
+    n = pairs.count()
+    pairs = gathered(pairs, n)
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
     sets = cut(_texts_of(docs, ids).mapInArrow(_sets(size), "id long, grams binary"))
     wide = pairs.join(sets.select(F.col("id").alias("a"), F.col("grams").alias("ga")), "a").join(sets.select(F.col("id").alias("b"), F.col("grams").alias("gb")), "b")
-    return cut(wide.mapInArrow(_confirm(percent), "a long, b long"))
+    return cut(gathered(wide.mapInArrow(_confirm(percent), "a long, b long"), n, 2000))
 
 
 def _private(docs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
@@ -188,27 +194,27 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     tables = [(i, j) for i in range(GROUPS) for j in range(i)]
     buckets = classes.select("class", "n_shingles", F.posexplode(F.array(*(F.xxhash64(F.lit(n), f"c{i}", f"c{j}") for n, (i, j) in enumerate(tables)))).alias("t", "key"))
     shared = buckets.groupBy("key").agg(F.min("class").alias("a"), F.min_by("n_shingles", "class").alias("na"), F.count("*").alias("members")).where("members > 1")
-    met = cut(buckets.join(shared, "key"))
+    met = settled(buckets.join(shared, "key"))
     like = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
-    star = cut(met.where((F.col("a") != F.col("class")) & like(F.col("na"), F.col("n_shingles"))).select("a", F.col("class").alias("b")).distinct())
+    star = settled(met.where((F.col("a") != F.col("class")) & like(F.col("na"), F.col("n_shingles"))).select("a", F.col("class").alias("b")).distinct())
     links = _links(docs, star, size, percent)
     label = components(links)
 
     rows = ["key", "t", "class", "n_shingles"]
-    left = cut(_open(met.where("members > 2").select(*rows, "members"), label))
+    left = settled(_open(met.where("members > 2").select(*rows, "members"), label))
     narrow = left.where(F.col("members") <= WIDE).withColumn("common", F.col("n_shingles"))
     wide = left.where(F.col("members") > WIDE)
     if wide.limit(1).count():
-        ids = cut(wide.select("class", "n_shingles").distinct())
+        ids = settled(wide.select("class", "n_shingles").distinct())
         common = F.col("n_shingles") - F.coalesce("private", F.lit(0))
         facts = ids.join(_private(docs, ids, size), "class", "left").select("class", common.alias("common")).where(F.col("common") * 100 >= F.col("n_shingles") * percent)
-        facts = cut(facts)  # those that another may be like at all
-        wide = cut(wide.drop("component").join(sent_if_small(facts), "class"))
+        facts = settled(facts)  # those that another may be like at all
+        wide = settled(wide.drop("component").join(sent_if_small(facts), "class"))
         order = F.struct(F.col("common") / F.col("n_shingles"), -F.col("class"))
         hubs = wide.groupBy("key").agg(F.max_by(F.struct("class", "n_shingles"), order).alias("hub"))
         again = wide.join(hubs, "key").where((F.col("hub.class") != F.col("class")) & like(F.col("hub.n_shingles"), F.col("n_shingles")))
         again = again.select(F.least("class", "hub.class").alias("a"), F.greatest("class", "hub.class").alias("b")).distinct()
-        again = cut(again.join(star, ["a", "b"], "left_anti"))
+        again = settled(again.join(star, ["a", "b"], "left_anti"))
         links, star = links.unionByName(_links(docs, again, size, percent)), star.unionByName(again)
         label = components(links)
         # |x & y| is at most the common shingles of either and has to be percent of the union; so too the sum of the lesser counts of two histograms
@@ -216,7 +222,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         least = F.greatest(F.col("least"), F.ceil(F.col("n_shingles") * percent / 100))
         able = wide.join(wide.groupBy("key").agg(F.min("n_shingles").alias("least")), "key").where(can(F.col("common"), F.col("n_shingles"), least)).drop("least")
         shapes = _texts_of(docs, facts.select(F.col("class").alias("doc_id"))).mapInArrow(_histograms(size), "class long, shape array<short>")
-        able = cut(_open(able, label)).join(shapes, "class", "left")
+        able = settled(_open(able, label)).join(shapes, "class", "left")
         narrow = narrow.withColumn("shape", F.lit(None).cast("array<short>")).unionByName(able.select(*narrow.columns, "shape"))
     else:
         narrow = narrow.withColumn("shape", F.lit(None).cast("array<short>"))
@@ -226,17 +232,21 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     lesser = F.aggregate(F.zip_with("x.shape", "y.shape", lambda a, b: F.least(a, b)), F.lit(0), lambda a, n: a + n)
     held = enough(F.least("x.common", "y.common")) & enough(lesser)
     rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.class") < F.col("y.class")) & (F.col("x.component") != F.col("y.component")) & like(F.col("x.n_shingles"), F.col("y.n_shingles")) & (_first_table(F.col("x.c"), F.col("y.c")) == F.col("x.t")) & held)
-    rest = cut(rest.select(F.col("x.class").alias("a"), F.col("y.class").alias("b")).join(star, ["a", "b"], "left_anti"))
+    rest = settled(rest.select(F.col("x.class").alias("a"), F.col("y.class").alias("b")).join(star, ["a", "b"], "left_anti"))
     more = _links(docs, rest, size, percent)
     if more.limit(1).count():
         label = components(links.unionByName(more))
 
-    known = classes.join(label.select(F.col("node").alias("class"), "component"), "class", "left").select(*of, "documents", F.coalesce("component", "class").alias("component_id"))
+    known = cut(classes.join(label.select(F.col("node").alias("class"), "component"), "class", "left").select(*of, "documents", F.coalesce("component", "class").alias("component_id")))
     narrow = base.select("doc_id", *of)
     rest = narrow.where("n_shingles > 0 and doc_id is not null")
     level = max(base.count() // HOT, 1000)
-    hot = F.broadcast(known.where(F.col("documents") > level).drop("documents"))  # at most HOT rows
-    met = rest.join(hot, of).unionByName(rest.join(hot, of, "left_anti").join(known.where(F.col("documents") <= level).drop("documents"), of))
+    hot = known.where(F.col("documents") > level).drop("documents")  # at most HOT rows
+    if hot.limit(1).count():
+        hot, known = F.broadcast(hot), known.where(F.col("documents") <= level)
+        met = rest.join(hot, of).unionByName(rest.join(hot, of, "left_anti").join(known.drop("documents"), of))
+    else:
+        met = rest.join(known.drop("documents"), of)
     alone = narrow.where("n_shingles = 0 or doc_id is null").withColumn("component_id", F.col("doc_id"))
     found = met.unionByName(alone.select(*met.columns))
     return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))

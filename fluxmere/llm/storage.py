@@ -8,14 +8,22 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
-from ..storage import SENT_ROWS, cut, fresh_path, remove_at_end, sent_if_small, shared_dir, table
+from ..storage import SENT_ROWS, cut, fresh_path, gathered, remove_at_end, sent_if_small, shared_dir, table
 
-__all__ = ["SENT_ROWS", "cut", "fresh_path", "remove_at_end", "sent_if_small", "shared_dir", "ship", "table"]
+__all__ = ["SENT_ROWS", "cut", "fresh_path", "gathered", "remove_at_end", "sent_if_small", "settled", "shared_dir", "ship", "table"]
 
 #: Bytes of rows that go to a Python worker at once; bounds the buffers on both sides.
 BATCH_BYTES = "2m"
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """A checkpoint of narrow rows, read in no more partitions than they fill: later stages over few rows then have few tasks."""
+    df = cut(df)
+    return gathered(df, df.count())
+
+
 _SHIPPED: set[str] = set()
 
 
