@@ -10,8 +10,6 @@ all documents has is ranked by many tasks.
 
 from __future__ import annotations
 
-import os
-import re
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -21,15 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import pretokens
 from .storage import cut, ship
 
 #: Pieces of a length that one task ranks.
 SHARE = 1000
 END = 1
-#: Texts, and characters of a text, that the tokenizer gets at once; bounds a worker's memory.
-TEXTS_AT_ONCE = 64
-PART_CHARS = 500_000
-_CUT = re.compile("[A-Za-z](?= [A-Za-z])")
 
 
 def shortest_pack_first(histogram: dict[int, int], room: int) -> list[tuple[int, list[tuple[int, int]]]]:
@@ -70,39 +65,20 @@ def _slots(patterns: list[tuple[int, list[tuple[int, int]]]]) -> np.ndarray:
     return np.array(sorted(rows), np.int64).reshape(-1, 5)
 
 
-def _parts(text: str) -> Iterator[str]:
-    """A long text in parts whose ids, one after another, are its own: cut between a word's last letter and a blank before the next word, where a pre-token always ends."""
-    at = 0
-    while len(text) - at > PART_CHARS and (found := _CUT.search(text, at + PART_CHARS)):
-        yield text[at : found.end()]
-        at = found.end()
-    yield text[at:]
-
-
-def _pieces(path: str, room: int):
+def _pieces(path: str, kinds: bytes, room: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from .pretokens import Encoder
 
-        tokenizer = Tokenizer.from_file(path)
+        encoder = Encoder(path, zlib.decompress(kinds))
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
-
-        def encoded(texts: list[str]) -> list[np.ndarray]:
-            return [np.array(x.ids, "<u4") for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
         for batch in batches:
             rows, at = [], []
-            for k in range(0, batch.num_rows, TEXTS_AT_ONCE):
-                texts = [x or "" for x in batch.column("text").slice(k, TEXTS_AT_ONCE).to_pylist()]
-                short = [t for t in texts if len(t) <= PART_CHARS]
-                ids_of = iter(encoded(short))
-                for i, text in enumerate(texts, k):
-                    ids = next(ids_of) if len(text) <= PART_CHARS else np.concatenate([encoded([part])[0] for part in _parts(text)])
-                    ids = np.append(ids, np.array([END], "<u4"))
-                    for start in range(0, len(ids), room):
-                        part = ids[start : start + room]
-                        at.append(i)
-                        rows.append((start, len(part), zlib.crc32(part.tobytes()), len(ids)))
+            for i, ids in enumerate(encoder.encode(batch.column("text").to_pylist())):
+                ids = np.append(ids, np.uint32(END)).astype("<u4")
+                for start in range(0, len(ids), room):
+                    part = ids[start : start + room]
+                    at.append(i)
+                    rows.append((start, len(part), zlib.crc32(part.tobytes()), len(ids)))
             cols = np.array(rows, np.int64).reshape(-1, 4)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(at, pa.int64())), *(pa.array(cols[:, k]) for k in range(4))], names=names)
 
@@ -136,7 +112,7 @@ def pack(docs: DataFrame, tokenizer: str, max_tokens: int = 2048) -> DataFrame:
     spark = docs.sparkSession
     ship(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    pieces = docs.mapInArrow(_pieces(tokenizer, max_tokens), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
+    pieces = docs.mapInArrow(_pieces(tokenizer, zlib.compress(pretokens.classes(tokenizer)), max_tokens), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
     pieces = cut(pieces.withColumn("salt", F.xxhash64("doc_id", "start", "ids_crc32", F.monotonically_increasing_id())))
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     slots = spark.sparkContext.broadcast(_slots(shortest_pack_first(histogram, max_tokens)))
