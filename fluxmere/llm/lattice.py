@@ -1,11 +1,14 @@
 """Log-space forward recursion over all segmentations of words into vocabulary pieces.
 
 Words of one length are handled together: numpy over words, a loop over positions and
-piece lengths. Pieces are found by the hash of their code points.
+piece lengths. Pieces are found by the hash of their code points. Words of more than ``LONG``
+code points are taken one by one, with memory in proportion to their length.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 
 from . import textvec
@@ -13,6 +16,9 @@ from . import textvec
 MARK = "▁"
 #: log10 weight of a code point that no piece covers.
 STRAY = -9.0
+LONG = 200
+#: Code points of words of one length that are handled together.
+_AT_ONCE = 100_000
 _BASE = 0x9E3779B97F4A7C15
 _LN10 = np.log(10.0)
 
@@ -22,6 +28,7 @@ class Lattice:
 
     def __init__(self, pieces: list[str], weights: np.ndarray, stop: float):
         self.weights, self.stop = np.asarray(weights, float), stop
+        self._pieces = dict(zip(pieces, range(len(pieces)), strict=True))
         self._by_length: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         self._inverse_base = pow(_BASE, -1, 2**64)
         lengths = np.array([len(p) for p in pieces])
@@ -73,22 +80,46 @@ class Lattice:
 
     def _groups(self, words: list[str]):
         size = np.array([len(w) for w in words])
-        for n in np.unique(size):
+        for n in np.unique(size[size <= LONG]):
             which = np.flatnonzero(size == n)
-            for k in range(0, len(which), 4096):
-                part = which[k : k + 4096]
+            step = max(1, _AT_ONCE // (n + 1))
+            for k in range(0, len(which), step):
+                part = which[k : k + step]
                 text = "".join(MARK + words[i] for i in part)
                 yield part, np.frombuffer(text.encode("utf-32-le"), np.uint32).reshape(len(part), n + 1).astype(np.uint64)
 
+    def _steps(self, text: str, end: int):
+        """(begin, piece or -1, log10 weight) of the pieces of one text that end there."""
+        for n in self._by_length:
+            piece = self._pieces.get(text[end - n : end], -1) if n <= end else -1
+            if piece >= 0:
+                yield end - n, piece, float(self.weights[piece])
+            elif n == 1:
+                yield end - 1, -1, STRAY
+
+    @staticmethod
+    def _sum(logs: list[float]) -> float:
+        best = max(logs)
+        return best + math.log10(sum(10.0 ** (x - best) for x in logs))
+
+    def _ahead(self, text: str) -> list[float]:
+        total = [0.0]
+        for end in range(1, len(text) + 1):
+            total.append(self._sum([total[begin] + w for begin, _, w in self._steps(text, end)]))
+        return total
+
     def score(self, words: list[str]) -> np.ndarray:
         """log10 of the summed probability of all segmentations of each word."""
         out = np.zeros(len(words))
         for part, codes in self._groups(words):
             out[part] = self._forward(self._arcs(codes), len(part))[-1] + self.stop
+        for i, word in enumerate(words):
+            if len(word) > LONG:
+                out[i] = self._ahead(MARK + word)[-1] + self.stop
         return out
 
-    def expected(self, words: list[str]) -> np.ndarray:
-        """Expected uses of each piece over the words, each word once."""
+    def expected(self, words: list[str], counts: np.ndarray) -> np.ndarray:
+        """Expected uses of each piece over the words, each taken as often as counted."""
         out = np.zeros(len(self.weights))
         for part, codes in self._groups(words):
             arcs = self._arcs(codes)
@@ -101,7 +132,18 @@ class Lattice:
                     back[begin] = np.logaddexp(back[begin] * _LN10, (w + back[end]) * _LN10) / _LN10
             for end in range(1, m + 1):
                 for begin, piece, w in arcs[end]:
-                    share = np.power(10.0, ahead[begin] + w + back[end] - ahead[m])
+                    share = np.power(10.0, ahead[begin] + w + back[end] - ahead[m]) * counts[part]
                     ok = piece >= 0
                     out += np.bincount(piece[ok], share[ok], len(out))
+        for i, word in enumerate(words):
+            if len(word) > LONG:
+                text = MARK + word
+                ahead, m = self._ahead(text), len(text)
+                back = [-math.inf] * m + [0.0]
+                for end in range(m, 0, -1):
+                    for begin, piece, w in self._steps(text, end):
+                        if piece >= 0:
+                            out[piece] += 10.0 ** (ahead[begin] + w + back[end] - ahead[m]) * counts[i]
+                        one = w + back[end]
+                        back[begin] = one if back[begin] == -math.inf else self._sum([back[begin], one])
         return out

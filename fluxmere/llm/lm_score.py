@@ -1,10 +1,11 @@
-"""Language-model scores of documents: subword lattice likelihood mixed with word counts.
+"""Language-model scores of documents: subword lattice likelihood.
 
 The pieces and their ranks come from an existing vocabulary; the ranks give the first
-weights (p ~ 1 / (rank + 10)) and one expectation step over all distinct training words
-gives the final ones. A word's lattice probability sums over all its segmentations. A
-token's probability is (1 - u) * c / N + u * lattice, where u is the share of training
-tokens that are words seen once: the mass that counts leave to unseen words.
+weights (p ~ 1 / (rank + 10)) and one expectation step over all training words, each as often
+as it is used, gives the final ones. A word's probability is the sum over all its
+segmentations, by a forward recursion in log space, and a text's that of its words and its
+end: score = sum over words of (log10 lattice + log10(1 - e)) + log10 e, with e the share of
+training tokens that are ends.
 
 All counts are over the whole corpus and are aggregated by word in Spark. Only words with
 at least ``COMMON`` of the training tokens are sent to every task; there are at most
@@ -27,6 +28,9 @@ from .lattice import Lattice
 from .storage import cut, ship
 
 COMMON = 1e-6
+#: Uses of all pieces together that no word accounts for, and the first log10 probability of a word's end.
+PRIOR = 10.0
+FIRST_STOP = math.log10(0.2)
 #: Distinct words that a task gathers before it sends their counts on.
 GATHER = 400_000
 
@@ -43,6 +47,13 @@ def vocabulary(path: str) -> tuple[list[str], np.ndarray]:
     return pieces, np.log10(weight / weight.sum())
 
 
+def refitted(weights: np.ndarray, uses: np.ndarray, words: int) -> tuple[np.ndarray, float]:
+    """log10 weights of the pieces and of a word's end, from uses; ``PRIOR`` uses go by the first weights, so none is 0."""
+    uses = uses + np.power(10.0, weights) * PRIOR
+    whole = uses.sum() + words + 1
+    return np.log10(uses / whole), math.log10((words + 1) / whole)
+
+
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(h, word, c): uses in training texts; words of other texts come with 0."""
     seen: dict[int, list] = {}
@@ -74,7 +85,7 @@ def _expected(model):
         lattice = Lattice(*model.value)
         total = np.zeros(len(model.value[0]))
         for batch in batches:
-            total += lattice.expected(batch.column("word").to_pylist())
+            total += lattice.expected(batch.column("word").to_pylist(), batch.column("c").to_numpy().astype(float))
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["piece", "n"])
 
@@ -136,8 +147,8 @@ def lm_scores(docs: DataFrame, model_path: str) -> DataFrame:
 
     Texts whose crc32(doc_id as text) mod 10 is 0 are held out of all counts. A null text is
     empty: its only token is the end. A null doc_id counts as training. Repeated rows are
-    counted and returned as often as they come. Without training texts every probability is
-    the smoothed one, and the lattice's. Other columns are ignored; no rows give no rows.
+    counted and returned as often as they come. Without training texts the base is the
+    smoothed one and the pieces have their first weights. Other columns are ignored; no rows give no rows.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -146,28 +157,24 @@ def lm_scores(docs: DataFrame, model_path: str) -> DataFrame:
     words = rows.select("text", (~F.col("held_out")).alias("train")).mapInArrow(_counts, "h long, word string, c long")
     table = cut(words.groupBy("h", "word").agg(F.sum("c").alias("c")))
     ends = rows.where(~F.col("held_out")).count()
-    sums = table.agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v"), F.count_if(F.col("c") == 1).alias("once")).first()
+    sums = table.agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
     total, kinds = (sums["n"] or 0) + ends, (sums["v"] or 0) + (ends > 0)
-    new = max(sums["once"] or 0, 1) / total if total else 1.0
     below = total + 0.1 * (kinds + 1)
+    end_share = (ends + 1) / (total + 2)
 
     pieces, weights = vocabulary(model_path)
-    model = spark.sparkContext.broadcast((pieces, weights, math.log10(0.2)))
-    seen = table.where("c > 0")
-    got = seen.select("word").mapInArrow(_expected(model), "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()
-    uses = np.power(10.0, weights) * 10  # a little of the first weights for pieces that no word uses
+    model = spark.sparkContext.broadcast((pieces, weights, FIRST_STOP))
+    got = table.where("c > 0").select("word", "c").mapInArrow(_expected(model), "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()
+    uses = np.zeros(len(pieces))
     for r in got:
-        uses[r["piece"]] += r["n"]
-    stops = max(kinds, 1)
-    model = spark.sparkContext.broadcast((pieces, np.log10(uses / (uses.sum() + stops)), math.log10(stops / (uses.sum() + stops))))
-    by_count = (1 - new) / total if total else 0.0
-    mixed = F.when(F.col("c") == 0, F.col("lattice") + math.log10(new)).otherwise(F.log10(F.col("c") * by_count + F.pow(F.lit(10.0), F.greatest("lattice", F.lit(-300.0))) * new))
+        uses[r["piece"]] = r["n"]
+    model = spark.sparkContext.broadcast((pieces, *refitted(weights, uses, total - ends)))
     stats = table.select("h", "word", "c").mapInArrow(_lattice(model), "h long, c long, lattice double")
-    stats = cut(stats.select("h", "c", F.log10((F.col("c") + 0.1) / below).alias("w_base"), mixed.alias("w_score")))
+    stats = cut(stats.select("h", "c", F.log10((F.col("c") + 0.1) / below).alias("w_base"), (F.col("lattice") + math.log10(1 - end_share)).alias("w_score")))
 
     common = stats.where(F.col("c") >= max(1.0, COMMON * total)).orderBy("h").toArrow().to_pydict() if total else {"h": [], "c": [], "w_base": [], "w_score": []}
     send = spark.sparkContext.broadcast((np.array(common["h"], np.int64), np.ones(len(common["h"])), np.array(common["w_base"], float), np.array(common["w_score"], float)))
-    end = (int(ends > 0), math.log10((ends + 0.1) / below), math.log10(ends * by_count + new * 1e-3) if total else -3.0)
+    end = (int(ends > 0), math.log10((ends + 0.1) / below), math.log10(end_share))
     parts = rows.select("uid", "doc_id", "held_out", "text").mapInArrow(_texts(send, end), _ROWS)
     rare = stats.where(F.col("c") < max(1.0, COMMON * total))
     met = parts.join(rare, "h", "left")
