@@ -3,11 +3,12 @@
 Logistic regression over the distinct features of a text: its words without outer
 punctuation and their prefixes. The loss adds ``fairness`` times the squared change of the
 logit between a labelled sentence and copies in which identity terms are swapped for
-others, so a neutral mention of a group cannot carry weight of its own.
+others, so a neutral mention of a group cannot carry weight of its own. The terms are a
+parameter; ``IDENTITY`` has some in four languages. Labelled rows without one are not swapped.
 
-The fit uses at most ``max_rows`` labelled rows (a documented parameter: those with the
-least hash of doc_id) on the driver; scoring is a map over all texts with a weight table
-of fixed size.
+The fit uses at most ``max_rows`` labelled documents (a documented parameter: those with the
+least hash of doc_id, one row each) on the driver, in the order of doc_id, so it does not
+depend on partitions; scoring is a map over all texts with a weight table of fixed size.
 """
 
 from __future__ import annotations
@@ -24,11 +25,19 @@ from .storage import cut, ship
 
 PREFIXES = (4, 5, 6, 7, 8, None)
 BITS = 22
-IDENTITY = (
-    "women men woman man girls boys muslims christians jews hindus buddhists atheists muslim christian jewish hindu buddhist atheist gay lesbian straight "
-    "bisexual transgender trans queer black white asian african latino hispanic arab european american mexican chinese indian russian german french "
-    "spanish british irish italian turkish polish immigrants refugees foreigners natives migrants disabled deaf blind elderly old young poor rich"
-).split()
+#: Copies of a sentence made for each identity term in it.
+SWAPS = 3
+#: Fixed: names of groups in English, German, French and Spanish.
+IDENTITY = tuple(
+    (
+        "women men woman man girls boys muslims christians jews hindus buddhists atheists muslim christian jewish hindu buddhist atheist gay lesbian straight "
+        "bisexual transgender trans queer black white asian african latino hispanic arab european american mexican chinese indian russian german french "
+        "spanish british irish italian turkish polish immigrants refugees foreigners natives migrants disabled deaf blind elderly old young poor rich "
+        "frauen männer muslime christen juden hindus atheisten schwule lesben schwarze weiße ausländer flüchtlinge einwanderer behinderte "
+        "femmes hommes musulmans chrétiens juifs athées gays lesbiennes noirs blancs étrangers réfugiés immigrés handicapés "
+        "mujeres hombres musulmanes cristianos judíos ateos lesbianas negros blancos extranjeros refugiados inmigrantes discapacitados"
+    ).split()
+)
 _PUNCT = np.zeros(256, bool)
 _PUNCT[[c for c in range(33, 127) if not chr(c).isalnum()]] = True
 
@@ -36,11 +45,13 @@ _PUNCT[[c for c in range(33, 127) if not chr(c).isalnum()]] = True
 def _trimmed(words: textvec.Words) -> textvec.Words:
     """The words without ASCII punctuation at their ends, where something is left."""
     start, end = words.start.copy(), words.end.copy()
-    for _ in range(4):
-        more = (end - start > 1) & _PUNCT[words.data[np.minimum(start, len(words.data) - 1)]] if len(start) else np.zeros(0, bool)
-        start += more
-        more = (end - start > 1) & _PUNCT[words.data[np.maximum(end - 1, 0)]] if len(start) else np.zeros(0, bool)
-        end -= more
+    more = np.ones(len(start), bool)
+    while more.any():
+        left = more & (end - start > 1) & _PUNCT[words.data[np.minimum(start, len(words.data) - 1)]]
+        start += left
+        right = more & (end - start > 1) & _PUNCT[words.data[end - 1]]
+        end -= right
+        more = left | right
     words.start, words.end = start, end
     return words
 
@@ -56,44 +67,48 @@ def _features(words: textvec.Words) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(slots), np.concatenate(rows)
 
 
-def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _gather(identity: tuple[str, ...]):
     """Distinct feature slots of each labelled text, and the identity terms that it has."""
-    terms = dict(zip(_term_hashes().tolist(), range(len(IDENTITY)), strict=True))
-    for batch in batches:
-        slots: list = [None] * batch.num_rows
-        found: list = [None] * batch.num_rows
-        for row, words in textvec.chunks(batch.column("text")):
-            words = _trimmed(words)
-            slot, of = _features(words)
-            both = np.unique((of.astype(np.int64) << BITS) | slot)
-            own = words.hashes().view(np.int64)
-            bounds = np.searchsorted(both, np.arange(words.rows + 1, dtype=np.int64) << BITS)
-            for r in range(words.rows):
-                slots[row + r] = (both[bounds[r] : bounds[r + 1]] & ((1 << BITS) - 1)).astype(np.int32)
-                found[row + r] = sorted({terms[h] for h in own[words.first[r] : words.first[r + 1]].tolist() if h in terms})
-        yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(slots, pa.list_(pa.int32())), pa.array(found, pa.list_(pa.int32()))], names=["toxic", "slots", "terms"])
-
-
-def _term_hashes() -> np.ndarray:
-    _, words = next(textvec.chunks(pa.array([" ".join(IDENTITY)])))
-    return words.hashes().view(np.int64)
-
-
-def _term_slots() -> list[np.ndarray]:
-    out = []
-    for term in IDENTITY:
-        _, words = next(textvec.chunks(pa.array([term])))
-        out.append(np.unique(_features(words)[0]))
-    return out
-
-
-def fit(toxic: np.ndarray, slots: list[np.ndarray], terms: list[list[int]], fairness: float = 1.0, ridge: float = 3e-4, rounds: int = 300, apart_by: float = 4.0, seed: int = 11) -> tuple[np.ndarray, float]:
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms = {h: k for k, h in enumerate(_term_hashes(identity))}
+        for batch in batches:
+            slots: list = [None] * batch.num_rows
+            found: list = [None] * batch.num_rows
+            for row, words in textvec.chunks(batch.column("text")):
+                words = _trimmed(words)
+                slot, of = _features(words)
+                both = np.unique((of.astype(np.int64) << BITS) | slot)
+                own = words.hashes().view(np.int64)
+                bounds = np.searchsorted(both, np.arange(words.rows + 1, dtype=np.int64) << BITS)
+                for r in range(words.rows):
+                    slots[row + r] = (both[bounds[r] : bounds[r + 1]] & ((1 << BITS) - 1)).astype(np.int32)
+                    found[row + r] = sorted({terms[h] for h in own[words.first[r] : words.first[r + 1]].tolist() if h in terms})
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(slots, pa.list_(pa.int32())), pa.array(found, pa.list_(pa.int32()))], names=["doc_id", "toxic", "slots", "terms"])
+
+    return run
+
+
+def _term_words(identity: tuple[str, ...]) -> Iterator[textvec.Words]:
+    for term in identity:
+        yield next(textvec.chunks(pa.array([term])))[1]
+
+
+def _term_hashes(identity: tuple[str, ...]) -> list[int]:
+    return [int(words.hashes().view(np.int64)[0]) for words in _term_words(identity)]
+
+
+def _term_slots(identity: tuple[str, ...]) -> list[np.ndarray]:
+    return [np.unique(_features(words)[0]) for words in _term_words(identity)]
+
+
+def fit(toxic: np.ndarray, slots: list[np.ndarray], terms: list[list[int]], identity: tuple[str, ...] = IDENTITY, fairness: float = 1.0, ridge: float = 3e-4, rounds: int = 300, apart_by: float = 4.0, seed: int = 11) -> tuple[np.ndarray, float]:
     """Weights of all slots, and the bias. Features of fewer than 3 texts, or less than ``apart_by`` standard errors apart between the labels, are left out. Without a row: weights 0, score 0.1."""
     size = 1 << BITS
     n = len(toxic)
     if not n:
         return np.zeros(size, np.float32), float(np.log(0.1 / 0.9))
-    of_term, rng = _term_slots(), np.random.Generator(np.random.PCG64(seed))
+    of_term, rng = _term_slots(identity), np.random.Generator(np.random.PCG64(seed))
     cols, rows = np.concatenate(slots), np.repeat(np.arange(n, dtype=np.int32), [len(s) for s in slots])
     count, with_label = np.bincount(cols, minlength=size), np.bincount(cols, toxic[rows], size)
     ones = max(int(toxic.sum()), 1)
@@ -108,7 +123,7 @@ def fit(toxic: np.ndarray, slots: list[np.ndarray], terms: list[list[int]], fair
     k = 0
     for r in range(n):
         for term in terms[r]:
-            for other in rng.choice(len(IDENTITY), 3, replace=False):
+            for other in rng.choice(len(identity), min(SWAPS, len(identity)), replace=False):
                 for s, sign in ((of_term[term], 1.0), (of_term[other], -1.0)):
                     s = s[used[s]]
                     pair_at.append(np.full(len(s), k)), pair_to.append(ids[s]), change.append(np.full(len(s), sign))
@@ -150,13 +165,14 @@ def _scored(model):
     return run
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 8_000, threshold: float = 0.3) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 8_000, threshold: float = 0.3, identity: tuple[str, ...] = IDENTITY, fairness: float = 1.0) -> DataFrame:
     """doc_id, held_out, score, predicted of every row of ``docs(doc_id, text)``, learnt from ``labels(doc_id, toxic)``.
 
     Rows whose crc32(doc_id as text) mod 4 is 2 are held out of the fit. A null text is empty
     and gets the score of the bias; a null doc_id is not held out. Null labels are ignored.
     Repeated rows are returned as often as they come. Other columns, of whatever name, are
-    not read. Without labels each score is 0.1.
+    not read. Of a doc_id that repeats in docs the greatest text is learnt from, and label 1
+    wins over 0. Without labels each score is 0.1.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -165,9 +181,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 8_000, threshol
     chosen = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic is not null and doc_id is not null")
     chosen = chosen.where(~held("doc_id")).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     chosen = cut(chosen)  # at most max_rows narrow rows, so it may be sent to all tasks
-    rows = docs.join(F.broadcast(chosen), "doc_id").select("toxic", "text")
-    got = rows.mapInArrow(_gather, "toxic int, slots array<int>, terms array<int>").toArrow()
-    weights, bias = fit(got.column("toxic").to_numpy(), [x.values.to_numpy() for x in got.column("slots")], got.column("terms").to_pylist())
+    rows = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max("text").alias("text"))
+    got = rows.mapInArrow(_gather(identity), "doc_id long, toxic int, slots array<int>, terms array<int>").toArrow().sort_by("doc_id")
+    weights, bias = fit(got.column("toxic").to_numpy(), [x.values.to_numpy() for x in got.column("slots")], got.column("terms").to_pylist(), identity, fairness)
     used = np.flatnonzero(weights)
     model = spark.sparkContext.broadcast((used, weights[used], bias))
     scored = docs.select("doc_id", held("doc_id").alias("held_out"), "text").mapInArrow(_scored(model), "doc_id long, held_out boolean, score double")
