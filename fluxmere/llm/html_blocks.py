@@ -7,7 +7,8 @@ import re
 from dataclasses import dataclass, field
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea iframe svg math object select button title audio video canvas".split())
+#: Elements with nothing that a browser shows as running text: code, controls of forms, and what stands in where a medium can't be shown.
+RAW = frozenset("script style noscript template textarea iframe object select button title audio video canvas".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li "
     "main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()

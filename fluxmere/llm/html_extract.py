@@ -21,6 +21,13 @@ from .storage import ship
 _P = "The river rose through the night and by morning the lower fields were under water, said the keeper of the lock."
 _Q = "Nobody was hurt, though two bridges remain closed until engineers have looked at them."
 _S = "It ended."
+_T = "Prices for grain fell in the third week of March, after two months in which they had only gone up."
+_U = "Wie die Stadt am Abend mitteilte, bleibt das Bad bis zum Ende der Ferien geschlossen."
+_V = "Stir the flour into the butter and let it brown a little before you add the milk, a cup at a time."
+_W = "Le musée ouvre ses portes à dix heures, sauf le lundi."
+_X = "Where x is the length of the side, the area is its square."
+_TOP = '<div class="top"><a href="/in">Sign in</a> <a href="/join">Join us</a> <span>Tuesday, 4 March</span></div>'
+_LINKS = '<a href="/1">Ten best walks by the sea</a> <a href="/2">Why the bridge was built</a> <a href="/3">A letter to the mayor</a>'
 _NAV = '<ul><li><a href="/">Home</a></li><li><a href="/n">News</a></li><li><a href="/s">Sport</a></li></ul>'
 #: (page, texts of its article's blocks): the labelled table.
 LABELLED: tuple[tuple[str, tuple[str, ...]], ...] = (
@@ -42,6 +49,14 @@ LABELLED: tuple[tuple[str, tuple[str, ...]], ...] = (
     (f'<article><p>{_S}</p></article><div><p>{_P}</p><p>{_Q}</p></div>', (_S,)),
     (f'<p>{_P}</p><p>{_S}</p>', (_P, _S)),
     ("<h1>Only a title</h1><p>One line.</p>", ("Only a title", "One line.")),
+    (f'{_TOP}<div class="content"><h2>Grain</h2><p>{_T}</p><p>By our own reporter</p><p>{_S}</p></div><div class="more">{_LINKS}</div><div>Call us on 555 0100</div>', ("Grain", _T, "By our own reporter", _S)),
+    (f'<header>{_TOP}</header><main><p>{_U}</p><table><tr><td>Montag</td><td>9 Uhr</td></tr></table><p>{_S}</p></main><footer><p>{_W}</p></footer>', (_U, "Montag", "9 Uhr", _S)),
+    (f'<div class="wrap"><div class="menu">{_LINKS}</div><div class="main"><h1>White sauce</h1><ol><li>{_V}</li><li>Salt it.</li></ol></div><div class="sidebar"><h3>More recipes</h3>{_LINKS}<p>{_W}</p></div></div>', ("White sauce", _V, "Salt it.")),
+    (f'<section><h2>Area</h2><p>{_X}</p><pre>x * x</pre><p>{_T}</p></section><section class="ads"><p>{_V}</p></section><p><a href="/t">Terms</a> | <a href="/i">Imprint</a></p>', ("Area", _X, "x * x", _T)),
+    (f'<article><p>{_W}</p><figure><figcaption>The entrance hall</figcaption></figure><p>{_U}</p></article><div>{_LINKS}</div><section id="comments"><article class="comment"><p>{_T}</p></article></section>', (_W, "The entrance hall", _U)),
+    (f'<div>{_TOP}</div><div>{_LINKS}</div><div><p>{_T}</p><p>{_V}</p><p>{_X}</p></div><div>{_LINKS}</div>', (_T, _V, _X)),
+    (f'<body>{_LINKS}<p>{_U}</p><p>{_W}</p><p>Read on: <a href="/p2">the second part of this report</a></p></body>', (_U, _W, "Read on: the second part of this report")),
+    (f'<main><h1>News</h1><p>{_T}</p><div role="alert">{_W}</div><div class="newsletter">{_V}</div><p>{_S}</p></main>', ("News", _T, _S)),
     (f'<div>{_NAV}</div><h1>Only a title</h1><p>One line.</p><p>{_Q}</p><div><a href="/n">Next page</a></div>', ("Only a title", "One line.", _Q)),
 )
 
