@@ -67,9 +67,7 @@ def _slots(patterns: list[tuple[int, list[tuple[int, int]]]]) -> np.ndarray:
 
 def _pieces(path: str, kinds: bytes, room: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from .pretokens import Encoder
-
-        encoder = Encoder(path, zlib.decompress(kinds))
+        encoder = pretokens.encoder(path, kinds)
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
         for batch in batches:
             rows, at = [], []

@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 import re
 import unicodedata
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -21,8 +22,8 @@ from . import textvec
 
 OTHER, LETTER, NUMBER, SPACE = range(4)
 #: Distinct pre-tokens that a worker remembers, and characters that it works on at once.
-CACHE = 250_000
-CHUNK = 1 << 18
+CACHE = 1_000_000
+CHUNK = 1 << 19
 #: A longer text is cut between a word's last letter and a blank before the next word, where a pre-token always ends.
 PART_CHARS = 500_000
 _CUT = re.compile("[A-Za-z](?= [A-Za-z])")
@@ -112,7 +113,8 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        self._known: dict[int, int] = {}
+        self._hash = np.zeros(0, np.uint64)  # of the known pre-tokens, sorted, and which one each is
+        self._slot = np.zeros(0, np.int32)
         self._flat = np.zeros(0, np.uint32)
         self._at = np.zeros(1, np.int64)
 
@@ -158,17 +160,19 @@ class Encoder:
         np.cumsum(self._weight[codes] * power[: len(codes)], out=sums[1:])
         hashes = textvec.mix((sums[end] - sums[begin]) * inverse[begin] + (end - begin).astype(np.uint64))
         distinct, first, which = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self._known) > CACHE:
+        if len(self._hash) > CACHE:
             self._clear()
-        known, new, slots = self._known, [], np.zeros(len(distinct), np.int64)
-        for k, h in enumerate(distinct.tolist()):
-            slot = known.get(h, -1)
-            if slot < 0:
-                slot = known[h] = len(known)
-                new.append(first[k])
-            slots[k] = slot
-        if new:
-            ids = self._plain([text[begin[i] : end[i]] for i in new])
+        at = np.searchsorted(self._hash, distinct)
+        old = np.zeros(len(distinct), bool)
+        inside = at < len(self._hash)
+        old[inside] = self._hash[at[inside]] == distinct[inside]
+        slots = np.zeros(len(distinct), np.int64)
+        slots[old] = self._slot[at[old]]
+        if not old.all():
+            slots[~old] = len(self._slot) + np.arange(np.count_nonzero(~old))
+            ids = self._plain([text[begin[i] : end[i]] for i in first[~old]])
+            self._hash = np.insert(self._hash, at[~old], distinct[~old])
+            self._slot = np.insert(self._slot, at[~old], slots[~old])
             sizes = np.fromiter(map(len, ids), np.int64, len(ids))
             self._flat = np.concatenate([self._flat, np.fromiter((x for part in ids for x in part), np.uint32, int(sizes.sum()))])
             self._at = np.concatenate([self._at, self._at[-1] + np.cumsum(sizes)])
@@ -178,3 +182,9 @@ class Encoder:
         out = self._flat[np.repeat(self._at[slot] - upto[:-1], size) + np.arange(upto[-1])]
         cuts = upto[np.searchsorted(begin, bounds, "left")]
         return [out[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+@lru_cache(maxsize=1)
+def encoder(path: str, kinds: bytes) -> Encoder:
+    """One for all tasks of a worker, with what it remembers; kinds come compressed."""
+    return Encoder(path, zlib.decompress(kinds))
