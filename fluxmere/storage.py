@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,3 +76,21 @@ def sent_if_small(df: DataFrame, rows: int = SENT_ROWS) -> DataFrame:
 def gathered(df: DataFrame, rows: int, each: int = 50_000) -> DataFrame:
     """A table of so many narrow rows in no more partitions than they fill, without a shuffle."""
     return df.coalesce(max(1, -(-rows // each)))
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give executors this package, which their Python workers import. Once an application."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="fluxmere-code-")
+    atexit.register(shutil.rmtree, folder, True)
+    with zipfile.ZipFile(path := f"{folder}/{root.name}.zip", "w") as archive:
+        for file in sorted(root.rglob("*.py")):
+            archive.write(file, f"{root.name}/{file.relative_to(root)}")
+    context.addPyFile(path)
+    _SHIPPED.add(context.applicationId)
