@@ -2,15 +2,10 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import zipfile
-from pathlib import Path
-
 from pyspark.sql import DataFrame, SparkSession
 
 from ..storage import SENT_ROWS, cut, fresh_path, gathered, remove_at_end, sent_if_small, shared_dir, table
+from ..storage import ship as _ship
 
 __all__ = ["SENT_ROWS", "cut", "fresh_path", "gathered", "remove_at_end", "sent_if_small", "settled", "shared_dir", "ship", "table"]
 
@@ -24,20 +19,7 @@ def settled(df: DataFrame) -> DataFrame:
     return gathered(df, df.count())
 
 
-_SHIPPED: set[str] = set()
-
-
 def ship(spark: SparkSession) -> None:
-    """Give executors this package, which their Python workers import, once an application; and bound the Arrow batches."""
+    """As the core's, and Arrow batches are bounded."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
-    context = spark.sparkContext
-    if context.applicationId in _SHIPPED:
-        return
-    root = Path(__file__).resolve().parents[1]
-    folder = tempfile.mkdtemp(prefix="fluxmere-code-")
-    atexit.register(shutil.rmtree, folder, True)
-    with zipfile.ZipFile(path := f"{folder}/{root.name}.zip", "w") as archive:
-        for file in sorted(root.rglob("*.py")):
-            archive.write(file, f"{root.name}/{file.relative_to(root)}")
-    context.addPyFile(path)
-    _SHIPPED.add(context.applicationId)
+    _ship(spark)
