@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualNullSafe, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from .storage import cut, fresh_path, sent_if_small, ship
+from .storage import cut, fresh_path, remove_at_end, sent_if_small, ship
 
 NAME = "fluxmere_warc"
 MANIFEST = "_manifest.json"
@@ -253,7 +253,9 @@ class _Reader(DataSourceReader):
                         length -= got
                     stream.take(4)
 
-    def read(self, partition: _File) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: _File | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # no archive in the folder
+            return
         rows, size = [], 0
         for row in self.rows(partition.path):
             rows.append(row)
@@ -324,13 +326,15 @@ def write(pages: DataFrame, path: str) -> None:
 
 
 def archive(pages: DataFrame, path: str | None = None) -> DataFrame:
-    """Write the pages' archives and read them back: page_id, url, payload_bytes, payload_digest, record_type, refers_to.
+    """Write the pages' archives, for the application's time where no path is given, and read them back: page_id, url, payload_bytes, payload_digest, record_type, refers_to.
 
     Sizes and digests of responses are those of the payloads read back, of revisits those in
     their headers.
     """
     spark = pages.sparkSession
-    path = path or fresh_path(spark, "warc")
+    if path is None:
+        path = fresh_path(spark, "warc")
+        remove_at_end(spark, path)
     write(pages, path)
     back = read(spark, path)
     whole = F.col("record_type") == "response"
