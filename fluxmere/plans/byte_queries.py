@@ -120,6 +120,25 @@ SELECT doc_id, CAST(list_reduce(list_prepend(65535, {_BYTES}), lambda crc, b: xo
   xor(xor(xor(crc >> 8, b), xor(crc >> 8, b) >> 4) << 5, xor(xor(crc >> 8, b), xor(crc >> 8, b) >> 4)))) AS BIGINT) AS crc FROM documents"""
 
 
+def _crc_table(poly: int, bits: int, reflected: bool) -> str:
+    """SQL list of the 256 steps of a byte, by the rule of division."""
+    top, mask, out = 1 << (bits - 1), (1 << bits) - 1, []
+    for byte in range(256):
+        crc = byte if reflected else byte << (bits - 8)
+        for _ in range(8):
+            crc = (crc >> 1 ^ (poly if crc & 1 else 0)) if reflected else (crc << 1 ^ (poly if crc & top else 0)) & mask
+        out.append(crc)
+    return f"[{','.join(map(str, out))}]::BIGINT[]"
+
+
+_CRC_ARCHIVE = f"""
+WITH t AS (SELECT {_crc_table(0xA097, 16, False)} AS t), v AS (SELECT doc_id, {_BYTES} AS v FROM documents)
+SELECT doc_id, CAST(list_reduce(list_prepend(CAST(0 AS BIGINT), v::BIGINT[]), lambda crc, b: xor((crc << 8) & 65535, t[xor(crc >> 8, b) + 1])) AS BIGINT) AS crc FROM v, t"""
+_CRC32 = f"""
+WITH t AS (SELECT {_crc_table(0xEDB88320, 32, True)} AS t), v AS (SELECT doc_id, {_BYTES} AS v FROM documents)
+SELECT doc_id, xor(CAST(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), v::BIGINT[]), lambda crc, b: xor(crc >> 8, t[(xor(crc, b) & 255) + 1])) AS BIGINT), CAST(4294967295 AS BIGINT)) AS crc FROM v, t"""
+
+
 def _mapped(pairs: str) -> str:
     return f"SELECT doc_id, md5(coalesce(array_to_string(list_transform({_BYTES}, lambda x: {pairs}), ''), '')) AS digest FROM documents"
 
@@ -146,6 +165,8 @@ SELECT d.doc_id, CAST(octet_length(encode(d.text)) AS BIGINT) AS n_bytes, count(
   CAST(coalesce(sum(CASE WHEN same THEN 2 ELSE n + 1 END), 0) AS BIGINT) AS stored_bytes, printf('%-4s %5d  %s', 'TXT', count(u.n), concat('DOC', d.doc_id)) AS row
 FROM documents AS d LEFT JOIN u USING (doc_id) GROUP BY d.doc_id, d.text""",
     "crc16_ccitt": _CCITT,
+    "crc16_archive": _CRC_ARCHIVE,
+    "crc32_text": _CRC32,
     "xor_checksum": f"SELECT doc_id, CAST(list_reduce(list_prepend(0, {_BYTES}), lambda a, x: xor(a, x)) AS BIGINT) AS checksum FROM documents",
     "quantize_block": "SELECT doc_id, md5(unhex(rpad(substr(hex(encode(text)), 1, 1024), 1024, '0'))) AS digest FROM documents",
     "nibble_44": _mapped(f"concat({_HEX2.format('(x >> 1) | 170')}, {_HEX2.format('x | 170')})"),
