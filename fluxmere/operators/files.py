@@ -49,6 +49,28 @@ def repaired(primary: Column, backup: Column, end: int) -> Column:
     return F.when(~good(primary) & good(backup), backup).otherwise(primary)
 
 
+def leaf_rows(df: DataFrame, keys: list[str], value: Column) -> DataFrame:
+    """keys, path (array of names), leaf (text) of every leaf of a JSON object; objects are descended, arrays and scalars are leaves.
+
+    A level at a time, until no object is left; empty objects have no leaves. What is no
+    JSON, or no object, has none either.
+    """
+    spark = df.sparkSession
+    level = df.select(*keys, F.array().cast("array<string>").alias("path"), F.try_parse_json(value.cast("string")).alias("v")).where(_is_object("v"))
+    leaves = None
+    while True:
+        inner = level.lateralJoin(spark.tvf.variant_explode(F.col("v").outer())).select(*keys, F.concat("path", F.array("key")).alias("path"), F.col("value").alias("v"))
+        found = inner.where(~_is_object("v")).select(*keys, "path", F.variant_get("v", "$", "string").alias("leaf"))
+        leaves = found if leaves is None else leaves.unionByName(found)
+        level = inner.where(_is_object("v"))
+        if level.isEmpty():
+            return leaves
+
+
+def _is_object(name: str) -> Column:
+    return F.coalesce(F.schema_of_variant(name).startswith("OBJECT"), F.lit(False))
+
+
 def json_leaves(value: Column) -> Column:
     """array<struct<path, leaf>> of a JSON object's members; arrays and scalars are leaves, nested objects come as text."""
     members = F.from_json(value, "map<string,string>")

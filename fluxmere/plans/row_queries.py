@@ -178,6 +178,13 @@ def json_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.explode(files.json_leaves(F.col("props"))).alias("x")).select("event_id", "x.path", "x.leaf")
 
 
+def json_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaves of events as nested objects, with their key paths."""
+    events = table(spark, sf_dir, "events")
+    text = F.concat(F.lit('{"event":{"id":'), F.col("event_id").cast("string"), F.lit(',"props":'), "props", F.lit('},"type":"'), "event_type", F.lit('","tags":[1,{"a":2}],"none":{}}'))
+    return files.leaf_rows(events.select("event_id", text.alias("t")), ["event_id"], F.col("t")).select("event_id", F.array_join("path", "/").alias("path"), "leaf")
+
+
 def left_password(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("long").alias("quality"))
     return docs.join(labels, "doc_id", "left")
@@ -202,7 +209,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         fimg_sparse, prodos_time, fat_time, cpm_time, pascal_date, free_runs, first_fit, bitmap_free_count, fat_repair, geometry_summary, histogram_percentile, motor_window, block_range, block_to_sectors, block_map_525, block_map_35,
-        extent_group, renumber_map, deleted_line_remap, semantic_deltas, docstring_islands, fold_depth, token_addresses, column_format, universal_catalog, name_validity, wildcard_83, glob_flat, glob_path, path_split, json_leaves,
+        extent_group, renumber_map, deleted_line_remap, semantic_deltas, docstring_islands, fold_depth, token_addresses, column_format, universal_catalog, name_validity, wildcard_83, glob_flat, glob_path, path_split, json_leaves, json_tree,
         left_password, detached_password, severity_counts, linker_fraction,
     )
 }
@@ -263,6 +270,9 @@ SELECT conv_id, min(position) AS first, md5(string_agg(text, chr(10) ORDER BY po
     "glob_path": "SELECT page_id, url FROM pages WHERE regexp_matches(url, '^https://[^/]*/en/[^/]*$')",
     "path_split": "SELECT page_id, regexp_extract(url, '^(.*)/[^/]*$', 1) AS parent, regexp_extract(url, '[^/]*$', 0) AS name FROM pages",
     "json_leaves": "SELECT event_id, k AS path, json_extract_string(props, concat('$.\"', k, '\"')) AS leaf FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events)",
+    "json_tree": """
+SELECT event_id, concat('event/props/', k) AS path, json_extract_string(props, concat('$."', k, '"')) AS leaf FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events)
+UNION ALL SELECT event_id, 'event/id', CAST(event_id AS VARCHAR) FROM events UNION ALL SELECT event_id, 'type', event_type FROM events UNION ALL SELECT event_id, 'tags', '[1,{"a":2}]' FROM events""",
     "left_password": "SELECT doc_id, CAST(quality AS BIGINT) AS quality FROM documents LEFT JOIN labels USING (doc_id)",
     "detached_password": "SELECT doc_id FROM documents ANTI JOIN labels USING (doc_id)",
     "severity_counts": "SELECT user_id, count(*) FILTER (WHERE event_type = 'error') AS errors, count(*) FILTER (WHERE event_type = 'click') AS warnings, count(*) FILTER (WHERE event_type = 'view') AS infos FROM events GROUP BY user_id",
