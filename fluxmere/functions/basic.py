@@ -22,6 +22,9 @@ TOKENS = (
 START = 2049
 MOST_LINES, MOST_CHARS = 5000, 255
 _DATA, _REM, _PRINT, _AT = (0x80 + TOKENS.index(x) for x in ("DATA", "REM", "PRINT", "AT"))
+_BY_FIRST: dict[str, list[tuple[int, str]]] = {}
+for _k, _word in enumerate(TOKENS):
+    _BY_FIRST.setdefault(_word[0], []).append((_k, _word))
 _ESCAPE = re.compile(rb"\\x([0-9A-Fa-f]{2})")
 
 
@@ -31,7 +34,7 @@ def _unescaped(raw: str) -> bytes:
 
 def _keyword(text: str, at: int) -> tuple[int, int] | None:
     """Code and end of the keyword at a place, blanks within it skipped. AT gives way to ATN and to A TO."""
-    for k, word in enumerate(TOKENS):
+    for k, word in _BY_FIRST.get(text[at].upper(), ()):
         end = at
         for char in word:
             while end < len(text) and text[end] == " ":

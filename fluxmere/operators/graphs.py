@@ -50,17 +50,21 @@ def chain_lengths(links: DataFrame) -> DataFrame:
 def best_suffix(targets: DataFrame, documents: DataFrame, path: str = "path", uri: str = "uri") -> DataFrame:
     """(path, uri, quality) for paths that one document fits best: by equal trailing segments, case ignored, then the shortest uri.
 
-    Paths for which two documents tie are left out. Only documents with the same last segment meet.
+    Paths for which two documents tie are left out. Documents are aggregated by each of their
+    endings before a path meets them, so a row an ending is all that a common name makes.
     """
-    segments = lambda c: F.filter(F.split(F.lower(c), "/"), lambda x: x != "")
-    left = targets.select(F.col(path).alias("path")).distinct().withColumn("a", F.reverse(segments("path")))
-    right = documents.select(F.col(uri).alias("uri")).distinct().withColumn("b", F.reverse(segments("uri")))
-    met = left.withColumn("last", F.get("a", 0)).join(right.withColumn("last", F.get("b", 0)), "last")
-    differ = F.array_position(F.zip_with("a", "b", lambda x, y: ~F.coalesce(x == y, F.lit(False))), True)
-    rated = met.select("path", "uri", F.when(differ == 0, F.size("a").cast("long")).otherwise(differ - 1).alias("quality"), F.length("uri").alias("n"))
-    best = rated.groupBy("path").agg(F.max(F.struct("quality", (-F.col("n")).alias("n"))).alias("best"))
-    top = rated.join(best, "path").where((F.col("quality") == F.col("best.quality")) & (F.col("n") == -F.col("best.n")))
-    return top.groupBy("path").agg(F.count("*").alias("ties"), F.min("uri").alias("uri"), F.max("quality").alias("quality")).where("ties = 1").drop("ties")
+
+    def endings(of: DataFrame, name: str) -> DataFrame:
+        parts = F.filter(F.split(F.lower(name), "/"), lambda x: x != "")
+        each = of.select(name, parts.alias("s")).where("size(s) > 0")
+        return each.select(name, F.explode(F.sequence(F.lit(1), F.size("s"))).alias("quality"), "s").select(name, F.col("quality").cast("long").alias("quality"), F.array_join(F.slice("s", -F.col("quality"), F.col("quality")), "/").alias("ending"))
+
+    theirs = endings(documents.select(F.col(uri).alias("uri")).distinct(), "uri").withColumn("n", F.length("uri"))
+    alike = theirs.groupBy("ending", "n").agg(F.count("*").alias("ties"), F.min("uri").alias("uri"))
+    best = alike.groupBy("ending").agg(F.min(F.struct("n", "ties", "uri")).alias("doc"))
+    met = endings(targets.select(F.col(path).alias("path")).distinct(), "path").join(best, "ending")
+    top = met.groupBy("path").agg(F.max_by("doc", "quality").alias("doc"), F.max("quality").alias("quality"))
+    return top.where("doc.ties = 1").select("path", "doc.uri", "quality")
 
 
 def as_of(left: DataFrame, right: DataFrame, key: str, place: str, value: str) -> DataFrame:
@@ -82,5 +86,5 @@ def collisions(df: DataFrame, key: list[str], name: Column) -> DataFrame:
     """key, short, names: long names that share their first two characters and their sigil."""
     stem = F.regexp_extract(name, "^[A-Za-z0-9]*", 0)
     short = F.concat(F.substring(name, 1, 2), F.substr(name, F.length(stem) + 1))
-    named = df.select(*key, name.alias("name"), short.alias("short"), F.length(stem).alias("n")).where("n >= 2").select(*key, "short", "name").distinct()
-    return named.groupBy(*key, "short").agg(F.array_sort(F.collect_list("name")).alias("names")).where("size(names) > 1")
+    named = df.select(*key, name.alias("name"), short.alias("short"), F.length(stem).alias("n")).where("n >= 2")
+    return named.groupBy(*key, "short").agg(F.array_sort(F.collect_set("name")).alias("names")).where("size(names) > 1")
