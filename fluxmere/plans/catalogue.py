@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_queries, code_queries, disk_queries, graph_queries, row_queries
+from . import byte_queries, code_queries, disk_queries, graph_queries, row_queries, stream_queries
 
-_MODULES = (byte_queries, row_queries, graph_queries, disk_queries, code_queries)
+_MODULES = (byte_queries, row_queries, graph_queries, disk_queries, code_queries, stream_queries)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
