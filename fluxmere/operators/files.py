@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import binary
 
+#: Fixed: version of the file image format.
+FIMG_VERSION = "2.1.0"
+
 
 def desequence(files: DataFrame, key: str, data: Column, size: int) -> DataFrame:
     """key, chunk_no, data, eof: fixed-width chunks; an empty file has none."""
@@ -43,6 +46,29 @@ def is_sparse(chunk_no: str) -> Column:
     return (F.min(chunk_no) != 0) | (F.max(chunk_no) + 1 != F.countDistinct(chunk_no))
 
 
+#: Fixed: metadata of a file image, in order, in hexadecimal digits, least byte first.
+_META = ("fs_type", "aux", "access", "accessed", "created", "modified", "version", "min_version")
+_IMAGE = "struct<fimg_version: string, file_system: string, chunk_len: int, eof: string, " + ", ".join(f"{m}: string" for m in _META) + ", full_path: string, chunks: map<string, string>>"
+
+
+def image_json(chunks: DataFrame, key: str, file_system: str, size: int, path: Column, version: str = FIMG_VERSION) -> DataFrame:
+    """key, json: a file image for each file of ``chunks(key, chunk_no, data, eof)``; its chunks in the order of their numbers, metadata empty."""
+    entry = F.struct("chunk_no", F.hex("data").alias("hex"))
+    rows = chunks.groupBy(key).agg(F.array_sort(F.collect_list(entry)).alias("all"), F.max("eof").alias("eof"))
+    numbered = F.map_from_entries(F.transform("all", lambda c: F.struct(c["chunk_no"].cast("string"), c["hex"])))
+    fields = [F.lit(version).alias("fimg_version"), F.lit(file_system).alias("file_system"), F.lit(size).alias("chunk_len"), F.hex(binary.le_bytes(F.col("eof"), 4)).alias("eof")]
+    fields += [*(F.lit("").alias(m) for m in _META), path.alias("full_path"), numbered.alias("chunks")]
+    return rows.select(key, F.to_json(F.struct(*fields)).alias("json"))
+
+
+def image_chunks(images: DataFrame, key: str, json: Column) -> DataFrame:
+    """key, chunk_no, data, eof of file images in JSON; none for what is no such image, or has digits that are no bytes."""
+    parsed = images.select(key, F.from_json(json, _IMAGE).alias("f")).where("f.fimg_version is not null and f.file_system is not null and f.chunks is not null")
+    each = parsed.select(key, F.explode(F.map_entries("f.chunks")).alias("c"), binary.le_int(F.unhex("f.eof")).alias("eof"))
+    rows = each.select(key, F.col("c.key").try_cast("long").alias("chunk_no"), F.try_to_binary("c.value", F.lit("hex")).alias("data"), "eof")
+    return rows.where("chunk_no is not null and data is not null")
+
+
 def repaired(primary: Column, backup: Column, end: int) -> Column:
     """An allocation entry: that of the backup only where it alone points to a data cluster."""
     good = lambda v: (v >= 2) & (v < end)

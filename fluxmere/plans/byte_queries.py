@@ -28,6 +28,20 @@ def fimg_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", F.col("n_chunks").cast("long").alias("n_chunks"), "sparse", F.md5("data").alias("digest"))
 
 
+def _images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = files.desequence(_docs(spark, sf_dir), "doc_id", F.col("b"), CHUNK)
+    return files.image_json(chunks, "doc_id", "prodos", CHUNK, F.concat(F.lit("DOC"), F.col("doc_id").cast("string")))
+
+
+def fimg_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _images(spark, sf_dir).select("doc_id", F.md5("json").alias("digest"), F.length("json").cast("long").alias("n_chars"))
+
+
+def fimg_json_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of the file images, read from their JSON."""
+    return files.image_chunks(_images(spark, sf_dir), "doc_id", F.col("json")).select("doc_id", "chunk_no", F.hex("data").alias("hex"), "eof")
+
+
 def block_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: per document its blocks, how many are uniform, their stored size, a checksum and a catalog row."""
     parts = F.coalesce(binary.chunks(F.col("b"), CHUNK), F.array())
@@ -108,7 +122,7 @@ def records_from_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (fimg_desequence, fimg_sequence, block_digests, crc16_ccitt, crc16_archive, crc32_text, xor_checksum, quantize_block, hex_dump_rows, escaped_ascii, dos_text, cpm_text, le_decode_int, le_truncated_int, fat12_entries, records_from_chunks)
+    for f in (fimg_desequence, fimg_sequence, fimg_json, fimg_json_back, block_digests, crc16_ccitt, crc16_archive, crc32_text, xor_checksum, quantize_block, hex_dump_rows, escaped_ascii, dos_text, cpm_text, le_decode_int, le_truncated_int, fat12_entries, records_from_chunks)
 } | {name: _nibbles(name) for name in ("nibble_44", "nibble_62", "nibble_53", "nibble_g64")}
 
 _BYTES = "list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: CAST(concat('0x', x) AS INTEGER))"
@@ -158,6 +172,12 @@ _PIECES = f"SELECT doc_id, chunk_no, substr(h, chunk_no * {2 * CHUNK} + 1, {2 *
 
 ORACLE = {
     "fimg_desequence": _PIECES,
+    "fimg_json": f"""
+WITH c AS ({_PIECES}), j AS (SELECT doc_id, any_value(eof) AS eof, string_agg(concat('"', chunk_no, '":"', hex, '"'), ',' ORDER BY chunk_no) AS chunks FROM c GROUP BY doc_id),
+t AS (SELECT doc_id, concat('{{"fimg_version":"{files.FIMG_VERSION}","file_system":"prodos","chunk_len":{CHUNK},"eof":"', {", ".join(_HEX2.format(f"(eof >> {8 * k}) & 255") for k in range(4))},
+  '","fs_type":"","aux":"","access":"","accessed":"","created":"","modified":"","version":"","min_version":"","full_path":"DOC', doc_id, '","chunks":{{', chunks, '}}}}') AS t FROM j)
+SELECT doc_id, md5(t) AS digest, length(t) AS n_chars FROM t""",
+    "fimg_json_back": _PIECES,
     "fimg_sequence": f"SELECT doc_id, CAST(ceil(octet_length(encode(text)) / {CHUNK}.0) AS BIGINT) AS n_chunks, false AS sparse, md5(text) AS digest FROM documents WHERE text <> ''",
     "block_digests": f"""
 WITH p AS ({_PIECES}), u AS (SELECT doc_id, len(hex) // 2 AS n, hex = repeat(substr(hex, 1, 2), len(hex) // 2) AS same FROM p)
