@@ -56,7 +56,7 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_score.lm_scores(_table(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"))
+    return lm_score.lm_scores(_table(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"), lm_score.CONCENTRATION)
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -80,3 +80,35 @@ def test_document_scores(spark):
         want = float(np.sum(model.score(tokens))) + len(tokens) * math.log10(1 - end) + math.log10(end) if tokens else math.log10(end)
         assert abs(r.score - want) < 1e-6 * max(1, abs(want))
         assert r.n_tokens == len(tokens) + 1 and r.held_out == held(r.doc_id)
+
+
+def test_scores_with_whole_words(spark):
+    """The urn drawn word by word in plain Python; held-out texts of training words are not far below the base."""
+    rng = random.Random(11)
+    names = ["".join(rng.choice("abdeilmnorstu") for _ in range(rng.randint(5, 9))) for _ in range(300)]
+    texts = [" ".join(rng.choice(names) for _ in range(rng.randint(1, 80))) for _ in range(300)] + [None, "", "new words new ones", "ab " * 40]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    held = lambda d: zlib.crc32(str(d).encode()) % 10 == 0
+    count = Counter(w for d, t in enumerate(texts) if not held(d) for w in (t or "").split())
+    total, ends = sum(count.values()), sum(not held(d) for d in range(len(texts)))
+    pieces, weights = lm_score.vocabulary(path)
+    words = list(count)
+    uses = lattice.Lattice(pieces, weights, lm_score.FIRST_STOP).expected(words, np.ones(len(words)))
+    model = lattice.Lattice(pieces, *lm_score.refitted(weights, uses, len(words)))
+    off = lm_score.discount(*(sum(c == k for c in count.values()) for k in (1, 2)))
+    end = (ends + 1) / (total + ends + 2)
+
+    def share(word):
+        return (max(count[word] - off, 0) + off * len(count) * 10 ** float(model.score([word])[0])) / total
+
+    got = {r.doc_id: r for r in lm_score.lm_scores(docs, path, 50.0).collect()}
+    assert len(got) == len(texts)
+    for d, text in enumerate(texts):
+        want, seen = math.log10(end), Counter()
+        for k, word in enumerate((text or "").split()):
+            want += math.log10(1 - end) + math.log10((50 * share(word) + seen[word]) / (50 + k))
+            seen[word] += 1
+        assert abs(got[d].score - want) < 1e-6 * abs(want)
+    out = [r for r in got.values() if r.held_out]
+    assert sum(r.score for r in out) > 1.1 * sum(r.base_score for r in out) > sum(r.score for r in lm_score.lm_scores(docs, path).where("held_out").collect())
