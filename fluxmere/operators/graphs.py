@@ -9,23 +9,48 @@ from ..storage import cut
 
 #: Length of a chain that runs into a cycle.
 ENDLESS = -1
+#: Nodes of united sets that may be sent to every task, and pairs that a task makes.
+SENT_NODES = 2_000_000
+PAIRS = 2_000_000
 
 
 def closure(edges: DataFrame, depth: int) -> DataFrame:
     """(node, other) of ``edges(src, dst)``: all that reach a node in at most ``depth`` steps, itself excluded.
 
-    Breadth first, one join a step, and a step joins only the pairs that the last one added;
-    it stops when there are none. Rounds are bounded by ``depth``.
+    The breadth-first search finds what is ahead of each node that is linked to, a join a step
+    over the pairs that the last one added, and only over links between such nodes; it stops
+    when there are none. Nodes with the same ones ahead are one class. A source reaches what is
+    ahead of its links' classes: these sets are united once for all sources that have the same
+    classes, and the pairs are made last and never shuffled.
     """
     edges = cut(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
-    seen = new = edges.select(F.col("dst").alias("node"), F.col("src").alias("other")).where("node <> other")
+    linked = cut(edges.select("dst").distinct())
+    steps = cut(edges.join(linked.withColumnRenamed("dst", "src"), "src", "left_semi").select(F.col("src").alias("at"), F.col("dst").alias("then")))
+    ahead = new = linked.select("dst", F.col("dst").alias("node"))
+    whole = False
     for _ in range(depth - 1):
-        step = new.join(edges, new.other == edges.dst).select("node", F.col("src").alias("other")).where("node <> other").distinct()
-        new = cut(step.join(seen, ["node", "other"], "left_anti"))
-        if new.isEmpty():
+        further = new.join(steps, new.node == steps.at).select("dst", F.col("then").alias("node")).distinct()
+        new = cut(further.join(ahead, ["dst", "node"], "left_anti"))
+        if whole := new.isEmpty():
             break
-        seen = seen.unionByName(new)
-    return seen
+        ahead = ahead.unionByName(new)
+    sets = ahead.groupBy("dst").agg(F.sort_array(F.collect_list("node")).alias("nodes"))
+    classes = cut(sets.groupBy("nodes").agg(F.min("dst").alias("class"), F.collect_list("dst").alias("all")))
+    # a source's largest class, and those of its links that this one does not hold
+    ends = steps.select(F.col("at").alias("dst")).distinct().withColumn("goes_on", F.lit(True))
+    of = classes.select("class", F.size("nodes").alias("n"), F.explode("all").alias("dst")).join(ends, "dst", "left")
+    links = edges.join(of, "dst")
+    most = links.groupBy("src").agg(F.max(F.struct("n", "class"))["class"].alias("most"))
+    inside = classes.select(F.col("class").alias("most"), F.explode("nodes").alias("dst")).withColumn("inside", F.lit(True))
+    held = F.col("inside").isNotNull() & (F.lit(whole) | F.col("goes_on").isNull())
+    rest = links.join(most, "src").where("class <> most").join(inside, ["most", "dst"], "left").where(~held).select("src", "class")
+    sources = cut(most.select("src", F.col("most").alias("class")).unionByName(rest).groupBy("src").agg(F.sort_array(F.collect_set("class")).alias("classes")))
+    parts = sources.groupBy("classes").agg(F.count("*").alias("times")).select("classes", "times", F.explode("classes").alias("class")).join(classes.select("class", "nodes"), "class")
+    united = cut(parts.groupBy("classes", "times").agg(F.array_distinct(F.flatten(F.collect_list("nodes"))).alias("nodes")))
+    size = united.agg(F.coalesce(F.sum(F.size("nodes")), F.lit(0)).alias("n"), F.coalesce(F.sum(F.size("nodes") * F.col("times")), F.lit(0)).alias("pairs")).first()
+    united = united.drop("times")
+    met = sources.repartition(1 + size["pairs"] // PAIRS).join(F.broadcast(united) if size["n"] <= SENT_NODES else united, "classes")
+    return met.select(F.explode("nodes").alias("node"), F.col("src").alias("other")).where("node <> other")
 
 
 def chain_lengths(links: DataFrame) -> DataFrame:

@@ -60,3 +60,25 @@ def test_long_chain(spark):
     got = dict(rows(graphs.chain_lengths(links)))
     assert got == {k: 41 - k for k in range(2, 41)} | {50: -1, 51: -1, 60: 1, 61: 1}
     assert graphs.chain_lengths(links.limit(0)).count() == 0
+
+
+def test_closure_of_few_steps(spark):
+    """Against brute force where the steps end before the links do; the pairs themselves are never shuffled."""
+    rng = random.Random(5)
+    for nodes, links, depth in ((40, 60, 2), (40, 45, 3), (30, 90, 9), (60, 58, 30), (5, 9, 1)):
+        edges = {(rng.randrange(nodes), rng.randrange(nodes)) for _ in range(links)} | {(100 + k, rng.randrange(nodes)) for k in range(30)}
+        back = {}
+        for s, d in edges:
+            back.setdefault(d, set()).add(s)
+        want = set()
+        for node in back:
+            seen, new = set(), {node}
+            for _ in range(depth):
+                new = {s for x in new for s in back.get(x, ())} - seen
+                seen |= new
+            want |= {(node, s) for s in seen - {node}}
+        got = graphs.closure(spark.createDataFrame([*edges, *list(edges)[:9], (None, 1), (1, None)], "src long, dst long"), depth)
+        assert rows(got) == sorted(want)
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.index("Generate explode") < plan.index("Join") and "Aggregate" not in plan[: plan.index("Join")]
+    assert graphs.closure(spark.createDataFrame([], "src long, dst long"), 9).count() == 0
