@@ -2,24 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
-from ..storage import SENT_ROWS, cut, fresh_path, gathered, remove_at_end, sent_if_small, shared_dir, table
-from ..storage import ship as _ship
+from ..storage import SENT_ROWS, cut, fresh_path, gathered, remove_at_end, sent_if_small, shared_dir, ship, table
 
 __all__ = ["SENT_ROWS", "cut", "fresh_path", "gathered", "remove_at_end", "sent_if_small", "settled", "shared_dir", "ship", "table"]
 
-#: Bytes of rows that go to a Python worker at once; bounds the buffers on both sides.
-BATCH_BYTES = "2m"
-
 
 def settled(df: DataFrame) -> DataFrame:
     """A checkpoint of narrow rows, read in no more partitions than they fill: later stages over few rows then have few tasks."""
     df = cut(df)
     return gathered(df, df.count())
-
-
-def ship(spark: SparkSession) -> None:
-    """As the core's, and Arrow batches are bounded."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
-    _ship(spark)

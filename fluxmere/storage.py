@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Rows of ids and numbers that may be sent to every task: some tens of MB.
 SENT_ROWS = 200_000
+#: Bytes of rows that go to a Python worker at once; bounds the buffers on both sides.
+BATCH_BYTES = "2m"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -82,7 +84,8 @@ _SHIPPED: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Give executors this package, which their Python workers import. Once an application."""
+    """Give executors this package, which their Python workers import, once an application; and bound the Arrow batches of the session."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     context = spark.sparkContext
     if context.applicationId in _SHIPPED:
         return

@@ -29,3 +29,17 @@ def test_nested_leaves(spark):
     got = files.leaf_rows(spark.createDataFrame(rows, "id long, t string"), ["id"], F.col("t")).collect()
     assert sorted((r.id, tuple(r.path), r.leaf) for r in got if r.leaf is not None) == [(1, ("a", "b", "c"), "1"), (1, ("a", "b", "d"), '[1,{"e":2}]'), (1, ("a", "f"), '{"no":1}')]
     assert [(r.id, tuple(r.path)) for r in got if r.leaf is None] == [(1, ("g",))]
+
+
+def test_images_go_to_python_in_small_batches(spark):
+    """However many images a task has, a worker holds some 2 MB of them at once."""
+    import pandas as pd
+
+    from fluxmere.operators import disks
+    from fluxmere.sources import disks as formats
+
+    blank = formats.linked_format()
+    rows = spark.range(0, 90, 1, 1).withColumn("image", F.lit(bytearray(blank)))
+    disks.files(rows)
+    sizes = rows.mapInPandas(lambda batches: (pd.DataFrame({"n": [len(b)]}) for b in batches), "n long").collect()
+    assert sum(r.n for r in sizes) == 90 and max(r.n for r in sizes) * len(blank) < 3 << 20
