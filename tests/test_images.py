@@ -39,7 +39,7 @@ def test_images_go_to_python_in_small_batches(spark):
     from fluxmere.sources import disks as formats
 
     blank = formats.linked_format()
-    rows = spark.range(0, 90, 1, 1).withColumn("image", F.lit(bytearray(blank)))
+    rows = spark.range(0, 90, 1, 1).select(F.col("id").alias("image_id"), F.lit(bytes(blank)).alias("image"))
     disks.files(rows)
     sizes = rows.mapInPandas(lambda batches: (pd.DataFrame({"n": [len(b)]}) for b in batches), "n long").collect()
     assert sum(r.n for r in sizes) == 90 and max(r.n for r in sizes) * len(blank) < 3 << 20
