@@ -41,6 +41,17 @@ def byte_list(data: Column) -> Column:
     return F.when(F.octet_length(data) == 0, F.array().cast("array<int>")).otherwise(F.transform(F.split(latin, ""), lambda c: F.ascii(c)))
 
 
+def latin(data: Column) -> Column:
+    """A character for each byte; scans over it are native, where a lambda takes its bytes one by one."""
+    return F.decode(data, "ISO-8859-1")
+
+
+def mapped(data: Column, units: list[int], charset: str = "ISO-8859-1") -> Column:
+    """Bytes with each replaced by the unit of the table, as ``charset`` writes it; no unit is 0 unless its byte is."""
+    moved = [k for k in range(256) if units[k] != k]
+    return F.encode(F.translate(latin(data), "".join(map(chr, moved)), "".join(chr(units[k]) for k in moved)), charset)
+
+
 def hex_of(values: Column) -> Column:
     """Upper-case hex of an array<int> of bytes."""
     return F.array_join(F.transform(values, lambda x: F.lpad(F.hex(x.cast("long")), 2, "0")), "")
@@ -107,6 +118,26 @@ def encode_44(values: Column) -> Column:
     return F.flatten(F.transform(values, lambda x: F.array(F.shiftright(x, 1).bitwiseOR(0xAA), x.bitwiseOR(0xAA))))
 
 
+def bytes_44(data: Column) -> Column:
+    """``encode_44`` of binary data, in one scan."""
+    return mapped(data, [(x >> 1 | 0xAA) << 8 | x | 0xAA for x in range(256)], "UTF-16BE")
+
+
+def bytes_62(data: Column) -> Column:
+    """``encode_62`` of binary data, in one scan."""
+    return mapped(data, [NIBBLES_62[x & 63] for x in range(256)])
+
+
+def bytes_53(data: Column) -> Column:
+    """``encode_53`` of binary data, in one scan."""
+    return mapped(data, [NIBBLES_53[x & 31] for x in range(256)])
+
+
+def bytes_g64(data: Column) -> Column:
+    """``encode_g64`` of binary data, in one scan; a unit with the second byte high is no surrogate."""
+    return mapped(data, [(G64[x & 15] << 6 & 255) << 8 | G64[x >> 4] << 3 | G64[x & 15] >> 2 for x in range(256)], "UTF-16LE")
+
+
 def decode_44(values: Column) -> Column:
     """Inverse of ``encode_44``; null for a pair that it can't have made."""
     valid = lambda x: x.bitwiseAND(0xAA) == 0xAA
@@ -164,15 +195,15 @@ def fat12(values: Column) -> Column:
 
 
 def hex_rows(data: Column) -> Column:
-    """Dump lines of 16 bytes: address, hex, then the bytes as ASCII and as ASCII with the high bit set."""
-
-    def row(chunk: Column) -> Column:
-        values = byte_list(chunk["data"])
-        blanks = 16 - F.size(values)
-        plain = F.array_join(F.transform(values, lambda x: F.when((x >= 32) & (x < 127), F.chr(x.cast("long"))).otherwise(".")), "")
-        high = F.array_join(F.transform(values, lambda x: F.when((x >= 160) & (x < 255), F.chr((x - 128).cast("long"))).otherwise(".")), "")
-        codes = F.array_join(F.transform(values, lambda x: F.concat(F.lpad(F.hex(x.cast("long")), 2, "0"), F.lit(" "))), "")
-        label = F.lpad(F.hex(chunk["chunk_no"] * 16), 4, "0")
-        return F.concat(label, F.lit(" : "), codes, F.repeat(F.lit("   "), blanks), F.lit("|+| "), plain, F.lit(" "), F.repeat(F.lit(" "), blanks), F.lit("|-| "), high)
-
-    return F.transform(chunks(data, 16), row)
+    """(label, hex, plain, high): what the lines of a dump are cut of; see ``hex_row``."""
+    shown = lambda low, high, by: F.encode(F.translate(latin(data), "".join(map(chr, range(256))), "".join(chr(x - by) if low <= x < high else "." for x in range(256))), "ISO-8859-1")
+    digits = F.encode(F.regexp_replace(F.hex(data), "(..)", "$1 "), "ISO-8859-1")
+    return F.struct(F.octet_length(data).alias("n"), digits.alias("digits"), shown(32, 127, 0).alias("plain"), shown(160, 255, 128).alias("high"))
+
+
+def hex_row(n: Column, digits: Column, plain: Column, high: Column, row: Column) -> Column:
+    """A dump line of 16 bytes: address, hex, then the bytes as ASCII and as ASCII with the high bit set. Slices of ``hex_rows``."""
+    piece = lambda of, width: F.decode(F.substring(of, row * (16 * width) + 1, F.lit(16 * width)), "ISO-8859-1")
+    blanks = F.greatest(16 - (n - row * 16), F.lit(0))
+    label = F.lpad(F.hex(row * 16), 4, "0")
+    return F.concat(label, F.lit(" : "), piece(digits, 3), F.repeat(F.lit("   "), blanks), F.lit("|+| "), piece(plain, 1), F.lit(" "), F.repeat(F.lit(" "), blanks), F.lit("|-| "), piece(high, 1))
