@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import basic, binary, codes
+from ..storage import ship
 from .tables import table
 
 
 def _programs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A program for each order, a line for each of its items."""
+    """A program for each order, a line for each of its items. Python workers read it, so they get this package."""
+    ship(spark)
     number = (F.col("l_linenumber") * 10).cast("string")
     line = F.concat(number, F.lit(' print "ITEM '), F.col("l_partkey").cast("string"), F.lit('": goto '), number, F.lit("\n"))
     items = table(spark, sf_dir, "lineitem").select("l_orderkey", F.struct(F.col("l_linenumber").alias("n"), line.alias("line")).alias("item"))

@@ -51,3 +51,11 @@ def test_columns(spark):
     rows = spark.createDataFrame([(1, "10 HOME"), (2, None), (3, "no number"), (4, "")], "id long, program string")
     got = rows.select("id", basic.tokens(rows.program).alias("t")).select("id", "t", basic.listing("t").alias("l")).collect()
     assert {r.id: (r.t and bytes(r.t).hex(), r.l) for r in got} == {1: ("07080a0097000000", "10  HOME \n"), 2: (None, None), 3: (None, None), 4: ("0000", "")}
+
+
+def test_pieces_are_worked_out_once():
+    basic._code.cache_clear(), basic._shown.cache_clear()
+    for k in range(50):
+        program = f'10 print "ITEM {k}": goto 10\n20 rem "a" : print\n30 data "x:y": at n "\\x41"'
+        assert basic.detokenize(basic.tokenize(program)) == f'10  PRINT "ITEM {k}": GOTO 10\n20  REM  "a" : print\n30  DATA  "x:y": ATN "A"\n'
+    assert basic._code.cache_info().misses <= 8 and basic._shown.cache_info().misses <= 8
