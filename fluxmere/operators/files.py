@@ -26,18 +26,19 @@ def sequence(chunks: DataFrame, key: str) -> DataFrame:
 def records(chunks: DataFrame, key: str, length: int, size: int) -> DataFrame:
     """key, rec_no, text: fixed-length records of which all chunks are there, up to the first NUL; empty ones are left out.
 
-    A record that ends where a chunk ends asks for the next chunk too.
+    A record that ends where a chunk ends asks for the next chunk too. One shuffle: of the pieces of records.
     """
-    first = F.ceil(F.col("chunk_no") * size / length).cast("long")
+    first = F.greatest(F.ceil(F.col("chunk_no") * size / length).cast("long") - 1, F.lit(0).cast("long"))
     last = F.ceil((F.col("chunk_no") + 1) * size / length).cast("long") - 1
-    starts = chunks.where(first <= last).select(key, F.explode(F.sequence(first, last)).alias("rec_no"))
+    met = chunks.select(key, "chunk_no", "data", F.explode(F.sequence(first, last)).alias("rec_no"))
     begin, end = F.floor(F.col("rec_no") * length / size).cast("long"), F.floor((F.col("rec_no") + 1) * length / size).cast("long")
-    parts = starts.select(key, "rec_no", (end - begin + 1).alias("need"), F.explode(F.sequence(begin, end)).alias("chunk_no"))
-    met = parts.join(chunks.select(key, "chunk_no", "data"), [key, "chunk_no"])
-    whole = met.groupBy(key, "rec_no", "need").agg(F.array_sort(F.collect_list(F.struct("chunk_no", "data"))).alias("all")).where("size(all) = need")
-    data = F.unhex(F.array_join(F.transform("all", lambda c: F.hex(c["data"])), ""))
-    piece = F.substring(data, (F.col("rec_no") * length % size + 1).cast("int"), F.lit(length))
-    text = F.decode(F.unhex(binary.hex_of(binary.let(binary.byte_list(piece), lambda v: F.when(F.array_contains(v, 0), F.slice(v, 1, (F.array_position(v, 0) - 1).cast("int"))).otherwise(v)))), "ISO-8859-1")
+    # a chunk gives each of its records the bytes that lie in it, and its number even where there are none
+    at = F.col("rec_no") * length - F.col("chunk_no") * size
+    piece = F.substring("data", F.greatest(at, F.lit(0)).cast("int") + 1, (length + F.least(at, F.lit(0))).cast("int"))
+    parts = met.select(key, "rec_no", F.struct("chunk_no", piece.alias("data")).alias("part"))
+    whole = parts.groupBy(key, "rec_no").agg(F.array_sort(F.collect_list("part")).alias("all")).where(F.col("all.chunk_no") == F.sequence(begin, end))
+    joined = F.decode(F.unhex(F.array_join(F.transform("all", lambda c: F.hex(c["data"])), "")), "ISO-8859-1")
+    text = F.substring_index(joined, "\x00", 1)
     return whole.select(key, "rec_no", text.alias("text")).where("text <> ''")
 
 
