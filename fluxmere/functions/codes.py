@@ -53,8 +53,10 @@ def place_of(track: Column, heads: int) -> Column:
 
 def unescaped(text: Column) -> Column:
     r"""Hex digits of the bytes that an escaped text means: ``\xHH`` is a byte, other characters beyond ASCII are dropped."""
-    units = F.regexp_extract_all(text, F.lit(r"(?s)\\x[0-9A-Fa-f]{2}|[\x00-\x7F]"), F.lit(0))
-    return F.array_join(F.transform(units, lambda u: F.when(F.length(u) == 4, F.upper(F.substring(u, 3, 2))).otherwise(F.lpad(F.hex(F.ascii(u)), 2, "0"))), "")
+    # pieces between the marks are plain but for what is dropped; a piece behind a mark begins with its digits
+    pieces = F.split(text, r"\\x(?=[0-9A-Fa-f]{2})")
+    plain = lambda p: F.hex(F.encode(F.regexp_replace(p, r"[^\x00-\x7F]+", ""), "US-ASCII"))
+    return F.array_join(F.transform(pieces, lambda p, k: F.when(k == 0, plain(p)).otherwise(F.concat(F.upper(F.substring(p, 1, 2)), plain(F.substr(p, F.lit(3)))))), "")
 
 
 def password_code(password: Column) -> Column:

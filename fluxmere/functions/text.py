@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .binary import byte_list, hex_of, let, utf8
+from .binary import byte_list, latin, utf8
 
 
 def _unix(text: Column) -> Column:
@@ -19,6 +19,14 @@ def escaped_ascii(data: Column, escape_controls: bool = True, inverted: bool = F
     """Bytes as ASCII, those outside the bounds as \\xHH; inverted bytes have the high bit set."""
     low, high = (0x20, 0x7E) if escape_controls else (0x00, 0x7F)
     shift = 128 if inverted else 0
+    # the bytes that are shown are moved in one scan; each other one that occurs is replaced in another
+    shown = range(low + shift, high + shift + 1)
+    stays = "".join(map(chr, shown))
+    hidden = F.array_distinct(F.split(F.translate(latin(data), stays, ""), ""))
+    code = lambda c: F.concat(F.lit("\\x"), F.lpad(F.hex(F.ascii(c)), 2, "0"))
+    escape = lambda text, c: F.when(c == "", text).otherwise(F.replace(text, c, code(c)))
+    if not inverted:
+        return F.aggregate(hidden, latin(data), escape)
     one = lambda x: F.when((x >= low + shift) & (x <= high + shift), F.chr((x - shift).cast("long"))).otherwise(F.concat(F.lit("\\x"), F.lpad(F.hex(x.cast("long")), 2, "0")))
     return F.array_join(F.transform(byte_list(data), one), "")
 
@@ -47,9 +55,9 @@ def to_cpm(text: Column) -> Column:
 
 def from_cpm(data: Column) -> Column:
     """Text up to the first 0x1A, without CR; bytes over 127 become NUL."""
-    values = let(byte_list(data), lambda v: let(F.array_position(v, 0x1A).cast("int"), lambda k: F.when(k == 0, v).otherwise(F.slice(v, 1, k - 1))))
-    kept = F.transform(F.filter(values, lambda x: x != 13), lambda x: F.when(x > 127, 0).otherwise(x))
-    return F.decode(F.unhex(hex_of(kept)), "utf-8")
+    up_to = F.substring_index(latin(data), "\x1a", 1)
+    plain = F.translate(up_to, "".join(map(chr, range(128, 256))) + "\r", "\x80" * 128)
+    return F.replace(plain, F.lit("\x80"), F.decode(F.unhex(F.lit("00")), "utf-8"))
 
 
 def nul_count(text: Column) -> Column:
