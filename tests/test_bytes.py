@@ -15,13 +15,13 @@ def both(spark, tmp_path, name):
     return sorted(got, key=repr), sorted(duckdb.connect().execute(sql).fetchall(), key=repr)
 
 
-@pytest.mark.parametrize("name", ["le_decode_int", "nibble_44", "nibble_62", "nibble_53", "nibble_g64", "hex_dump_rows", "cpm_text"])
+@pytest.mark.parametrize("name", ["le_decode_int", "fat12_entries", "nibble_44", "nibble_62", "nibble_53", "nibble_g64", "hex_dump_rows", "cpm_text"])
 def test_as_sql(spark, tmp_path, name):
     got, want = both(spark, tmp_path, name)
     assert got == want != []
 
 
-@pytest.mark.parametrize("name", ["nibble_44", "nibble_62", "nibble_53", "nibble_g64", "hex_dump_rows", "cpm_text"])
+@pytest.mark.parametrize("name", ["fat12_entries", "nibble_44", "nibble_62", "nibble_53", "nibble_g64", "hex_dump_rows", "cpm_text"])
 def test_no_lambda_a_byte(spark, tmp_path, name):
     spark.createDataFrame([(1, "abc")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert "lambdafunction" not in entry.queries()[name](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
