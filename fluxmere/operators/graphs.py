@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..storage import cut
+from ..storage import cut, sent_if_small
 
 #: Length of a chain that runs into a cycle.
 ENDLESS = -1
 #: Nodes of united sets that may be sent to every task, and pairs that a task makes.
 SENT_NODES = 2_000_000
 PAIRS = 2_000_000
+#: Sorted lines of plain words with the same first two characters. Possessive groups keep the matcher from recursing.
+_PLAIN = r"(?m)^([a-z0-9]{2})[a-z0-9]*+(?:\n\1[a-z0-9]*+)++$"
+#: A line with a sigil; a word with one: two characters of its stem, the others, the sigil; sorted lines "short word" with the same short.
+_SIGIL, _SIGNED, _RUN = r"(?m)^[a-z0-9]*+[$%][^\n]*+\n?", r"(?m)^([a-z0-9]{2})([a-z0-9]*+)([$%][^\n]*+)$", r"(?m)^([^ \n]++) [^\n]++(?:\n\1 [^\n]++)++$"
 
 
 def closure(edges: DataFrame, depth: int) -> DataFrame:
@@ -113,3 +120,37 @@ def collisions(df: DataFrame, key: list[str], name: Column) -> DataFrame:
     short = F.concat(F.substring(name, 1, 2), F.substr(name, F.length(stem) + 1))
     named = df.select(*key, name.alias("name"), short.alias("short"), F.length(stem).alias("n")).where("n >= 2")
     return named.groupBy(*key, "short").agg(F.array_sort(F.collect_set("name")).alias("names")).where("size(names) > 1")
+
+
+def text_collisions(df: DataFrame, key: list[str], text: Column) -> DataFrame:
+    """key, short, n, names: the distinct words of all texts of a key that ``collisions`` would group, joined by blanks.
+
+    A word has letters, digits, ``$`` and ``%``; case is ignored. Words that collide stand side by
+    side among a text's sorted words without sigils, so one scan finds each group whole and a key
+    with one text needs no shuffle. Words with a sigil, few as a rule, are sorted once more behind
+    their short names. Texts of keys that occur again are grouped by word.
+    """
+    low = F.lower(F.replace(text, F.lit("\u0130"), F.lit("i")))  # the one letter whose lower case has two characters
+    texts = df.select(*key, F.array_distinct(F.regexp_extract_all(low, F.lit("[a-z0-9$%]{2,}+"), F.lit(0))).alias("words"))
+    again = cut(df.groupBy(*key).agg(F.count("*").alias("times")).where("times > 1").select(*(F.col(k).alias(f"_{k}") for k in key)))
+    if again.isEmpty():
+        return _side_by_side(texts, key)
+    again = sent_if_small(again)
+    same = reduce(and_, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in key))
+    words = texts.join(again, same, "left_semi").select(*key, F.explode("words").alias("word"))
+    found = collisions(words, key, F.col("word")).select(*key, "short", F.size("names").cast("long").alias("n"), F.array_join("names", " ").alias("names"))
+    return _side_by_side(texts.join(again, same, "left_anti"), key).unionByName(found)
+
+
+def _side_by_side(texts: DataFrame, key: list[str]) -> DataFrame:
+    """The groups within each row of ``texts(*key, words)``."""
+    lines = texts.select(*key, F.array_join(F.sort_array("words"), "\n").alias("lines"))
+    plain = F.regexp_extract_all(F.regexp_replace("lines", _SIGIL, ""), F.lit(_PLAIN), F.lit(0))
+    signed = F.regexp_replace(F.array_join(F.regexp_extract_all("lines", F.lit(_SIGNED), F.lit(0)), "\n"), _SIGNED, "$1$3 $1$2$3")
+    signed = F.regexp_extract_all(F.array_join(F.sort_array(F.split(signed, "\n")), "\n"), F.lit(_RUN), F.lit(0))
+    runs = lines.select(*key, F.explode(F.concat(plain, signed)).alias("run"))
+    is_signed = F.contains("run", F.lit(" "))
+    runs = runs.withColumn("short", F.when(is_signed, F.substring_index("run", " ", 1)).otherwise(F.substring("run", 1, 2)))
+    bare = F.when(is_signed, F.substr(F.replace(F.concat(F.lit("\n"), "run"), F.concat(F.lit("\n"), "short", F.lit(" ")), F.lit("\n")), F.lit(2))).otherwise(F.col("run"))
+    runs = runs.withColumn("names", F.replace(bare, F.lit("\n"), F.lit(" ")))
+    return runs.select(*key, "short", (F.length("names") - F.length(F.replace("names", F.lit(" "), F.lit(""))) + 1).cast("long").alias("n"), "names")

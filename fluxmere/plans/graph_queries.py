@@ -66,9 +66,8 @@ def suffix_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^a-z0-9$%]+"))).alias("word"))
-    found = graphs.collisions(docs, ["doc_id"], F.col("word"))
-    return found.select("doc_id", "short", F.size("names").cast("long").alias("n"), F.md5(F.array_join("names", " ")).alias("digest"))
+    found = graphs.text_collisions(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"], F.col("text"))
+    return found.select("doc_id", "short", "n", F.md5("names").alias("digest"))
 
 
 def collision_union(spark: SparkSession, sf_dir: str) -> DataFrame:
